@@ -5,10 +5,16 @@ from __future__ import annotations
 from .common import table
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
+from .quality import score_quality
 from .secret_scan import find_secrets
+from .toxicity import score_toxicity
 from .warc import archive_and_read
 
 
+def op1_quality(spark, sf_dir):
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -17,6 +23,10 @@ def op5_warc(spark, sf_dir):
     return archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_secret_scan(spark, sf_dir):
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -25,7 +35,7 @@ def op9_html_text(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_warc, op8_secret_scan, op9_html_text)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op5_warc, op7_toxicity, op8_secret_scan, op9_html_text)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
