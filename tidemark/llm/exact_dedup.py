@@ -50,7 +50,9 @@ def collisions(cut: DataFrame) -> DataFrame:
 def with_verified_recipes(cut: DataFrame) -> DataFrame:
     """Adds `refined`: for documents that hold a colliding identifier the digests at those places, else null."""
     places = cut.select("doc_id", "text_sha256", F.posexplode(F.arrays_zip("recipe", "digests")).alias("place", "c")).select("doc_id", "text_sha256", "place", F.col("c.recipe").alias("recipe"), "c.digests")
-    refined = places.join(collisions(cut), "recipe", "left_semi").groupBy("doc_id", "text_sha256").agg(F.sort_array(F.collect_set(F.struct("place", "digests"))).alias("refined"))
+    salted = collisions(cut).select("recipe", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    places = places.withColumn("salt", F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALTS).cast("long")))
+    refined = places.join(salted, ["recipe", "salt"], "left_semi").groupBy("doc_id", "text_sha256").agg(F.sort_array(F.collect_set(F.struct("place", "digests"))).alias("refined"))
     refined = refined.select(F.col("doc_id").alias("r_id"), F.col("text_sha256").alias("r_sha"), "refined")
     return cut.join(refined, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_sha256") == F.col("r_sha")), "left").drop("r_id", "r_sha")
 
