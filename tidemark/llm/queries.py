@@ -6,6 +6,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .quality import score_quality
+from .repeats import remove_repeats
 from .secret_scan import find_secrets
 from .toxicity import score_toxicity
 from .warc import archive_and_read
@@ -19,6 +20,10 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark, sf_dir):
     return archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -35,7 +40,7 @@ def op9_html_text(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op5_warc, op7_toxicity, op8_secret_scan, op9_html_text)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_suffix_dedup, op5_warc, op7_toxicity, op8_secret_scan, op9_html_text)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
