@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .common import table
+from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
+from .pieces import encode
 from .quality import score_quality
 from .repeats import remove_repeats
 from .secret_scan import find_secrets
@@ -20,6 +22,10 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_pieces(spark, sf_dir):
+    return encode(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -28,6 +34,10 @@ def op5_warc(spark, sf_dir):
     return archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_decontamination(spark, sf_dir):
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,7 +50,7 @@ def op9_html_text(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_suffix_dedup, op5_warc, op7_toxicity, op8_secret_scan, op9_html_text)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_pieces, op4_suffix_dedup, op5_warc, op6_decontamination, op7_toxicity, op8_secret_scan, op9_html_text)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
