@@ -6,6 +6,7 @@ from .common import table
 from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
+from .jaccard_join import jaccard_join
 from .pieces import encode
 from .quality import score_quality
 from .repeats import remove_repeats
@@ -50,7 +51,11 @@ def op9_html_text(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_pieces, op4_suffix_dedup, op5_warc, op6_decontamination, op7_toxicity, op8_secret_scan, op9_html_text)}
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_pieces, op4_suffix_dedup, op5_warc, op6_decontamination, op7_toxicity, op8_secret_scan, op9_html_text, op10_jaccard_join)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
