@@ -147,12 +147,10 @@ def fit_scores(train: DataFrame) -> tuple[dict[str, float], int, int]:
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, mod: int, held: int) -> DataFrame:
     own = narrowed(labels, [id_col, label_col]).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     own = own.filter(F.col("y").isin(0, 1) & (fold_column("doc_id", mod) != held)).groupBy("doc_id").agg(F.max("y").alias("y"))
-    shares = {r.y: r.n for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) / 1_000_000.0
-    keep = F.lit(False)
-    for y, n in shares.items():
-        keep = keep | ((F.col("y") == y) & (place < min(1.0, MOST_TRAIN / n)))
-    return docs.join(own.filter(keep), "doc_id").select("doc_id", "text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(10)) < 7).alias("learns"))
+    place = F.xxhash64("doc_id", F.lit(7))
+    sample = [own.filter(F.col("y") == y).orderBy(place, "doc_id").limit(MOST_TRAIN) for y in (0, 1)]
+    sample = F.broadcast(sample[0].unionByName(sample[1]))  # 2 * MOST_TRAIN rows of two numbers at most
+    return docs.join(sample, "doc_id").select("doc_id", "text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(10)) < 7).alias("learns"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out_mod: int = 3, held_out_is: int = 1, threshold: float = 0.7) -> DataFrame:
