@@ -31,7 +31,7 @@ from .calibration import fit_isotonic
 from .common import fold_column, materialize, narrowed, whole_text
 
 MOST_TRAIN, MOST_UNITS, LEAST_TOXIC = 20_000, 200_000, 3
-PRIOR, BOUND, DRIFT, EVALUE = 300.0, 2.3, 0.08, 0.1
+PRIOR, PRIOR_SHARE, BOUND, DRIFT, EVALUE = 300.0, 0.1, 2.3, 0.08, 0.1
 WORD = re.compile(r"\w+")
 PREFIXES = (5, 6, 7)
 
@@ -45,7 +45,11 @@ def words(text: str) -> list[str]:
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, prior: float = PRIOR, bound: float = BOUND) -> np.ndarray:
-    """The lower bound of each unit's log-odds of toxic against clean; 0 where it is not above 0."""
+    """The lower bound of each unit's log-odds of toxic against clean; 0 where it is not above 0.
+
+    The prior counts as `prior` documents, or PRIOR_SHARE of the training documents if those are few.
+    """
+    prior = min(prior, PRIOR_SHARE * (n_toxic + n_clean))
     a = prior * (toxic + clean) / max(1.0, n_toxic + n_clean)
     rate = lambda y, n: np.log((y + a) / np.maximum(n + prior - y - a, 0.5))
     deviation = np.sqrt(1 / (toxic + a) + 1 / (clean + a))
