@@ -81,3 +81,14 @@ def fold_column(name: str, n: int) -> Column:
 def narrowed(df: DataFrame, names: list[str]) -> DataFrame:
     """Only the columns an operator reads; further columns, whatever their names, do not reach it."""
     return df.select(*[F.col(f"`{x}`") for x in names])
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A row's 64-bit key, which tells rows with equal ids but unequal texts apart."""
+    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), whole_text(f"`{text_col}`"))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs`, with all its columns, without the rows whose key is in `gone` (key)."""
+    keys = gone.select(F.col("key").alias("__gone_key")).distinct()
+    return docs.join(keys, row_key(id_col, text_col) == keys["__gone_key"], "left_anti")

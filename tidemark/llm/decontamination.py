@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import summed
-from .common import materialize, narrowed, whole_text
+from .common import materialize, narrowed, row_key, whole_text, without
 
 BLOCK, RANK, EMPHASIS, SEED = 20, 128, 30.0, 20_240_503
 #: Numbers in the matrices that are summed: with more terms there are fewer directions, 32 at least.
@@ -39,7 +39,7 @@ LEAST_COSINE, SURE, LIKELY, ANSWER, LEAST_WORDS = 0.4, 0.75, 0.55, 0.75, 5
 STRETCH = 1.35
 MOST_ITEMS, MOST_TERMS = 200_000, 1 << 17
 WORD = re.compile(r"\w+")
-FOUND = "doc_id long, item_id long, lcs double, answer double, cosine double, first_word long, last_word long"
+FOUND = "doc_id long, item_id long, lcs double, answer double, cosine double, first_word long, last_word long, key long"
 
 
 def words(text: str) -> list[str]:
@@ -294,7 +294,7 @@ def candidates(read: DataFrame, basis: np.ndarray, items: list[np.ndarray], weig
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row for every document and benchmark item in it: doc_id, item_id, lcs, answer, cosine, first_word, last_word."""
+    """A row for every document and benchmark item in it: doc_id, item_id, lcs, answer, cosine, first_word, last_word, key."""
     spark = docs.sparkSession
     known = narrowed(benchmark, [item_col, item_text_col]).select(F.col(f"`{item_col}`").cast("long").alias("item_id"), whole_text(item_text_col).alias("text")).limit(MOST_ITEMS + 1).collect()
     if len(known) > MOST_ITEMS:
@@ -302,7 +302,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     listed = sorted(((r.item_id, ws) for r in known if len(ws := words(r.text)) >= LEAST_WORDS), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     if not listed:
         return spark.createDataFrame([], FOUND)
-    rows = narrowed(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = narrowed(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
     terms = Terms([ws for _, ws in listed])
     read = materialize(read_terms(rows, spark.sparkContext.broadcast(terms)), "terms")
     frequency, n = document_frequency(read, terms.size)
@@ -315,7 +315,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     def verify(batches):
         for batch in batches:
             out = []
-            for doc, text, hits in zip(batch.doc_id, batch.text, batch.near, strict=True):
+            for doc, key, text, hits in zip(batch.doc_id, batch.key, batch.text, batch.near, strict=True):
                 ws, by_item = words(text), {}
                 for h in hits:
                     by_item.setdefault(h["item"], []).append((h["block"], h["cosine"]))
@@ -334,15 +334,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                             low = start
                         high = (block + 2) * BLOCK + len(want)
                     if is_leak(best[0], best[1]):
-                        out.append((doc, item_id, best[0], best[1], max(c for _, c in found), best[2], best[3]))
+                        out.append((doc, item_id, best[0], best[1], max(c for _, c in found), best[2], best[3], key))
             if out:
-                frame = pd.DataFrame(out, columns=["doc_id", "item_id", "lcs", "answer", "cosine", "first_word", "last_word"])
+                frame = pd.DataFrame(out, columns=["doc_id", "item_id", "lcs", "answer", "cosine", "first_word", "last_word", "key"])
                 yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
 
-    return rows.join(near, "key").select("doc_id", "text", "near").mapInPandas(verify, FOUND).dropDuplicates(["doc_id", "item_id"])
+    return rows.join(near, "key").select("doc_id", "key", "text", "near").mapInPandas(verify, FOUND).dropDuplicates(["key", "item_id"])
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows that hold a benchmark item."""
-    gone = find_leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__leak_id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__leak_id"]), "left_anti")
+    return without(docs, find_leaks(docs, benchmark, id_col, text_col), id_col, text_col)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import fit_isotonic, summed
-from .common import fold_column, materialize, narrowed, whole_text
+from .common import fold_column, materialize, narrowed, row_key, whole_text, without
 
 FOURIER, FOLDS, RIDGE, WIDTH, SEED = 256, 4, 1.0, 1.0, 20_240_501
 #: Partitions of labelled rows, hence the number of partial sums.
@@ -66,10 +66,10 @@ def statistics(text: str) -> np.ndarray:
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id, "x": [statistics(t) for t in batch.text]})
+            yield pd.DataFrame({"doc_id": batch.doc_id, "key": batch.key, "x": [statistics(t) for t in batch.text]})
 
-    rows = narrowed(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, x array<float>")
+    rows = narrowed(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), whole_text(text_col).alias("text"))
+    return rows.mapInPandas(run, "doc_id long, key long, x array<float>")
 
 
 def fourier_map(mean: np.ndarray, deviation: np.ndarray, features: int = FOURIER, width: float = WIDTH):
@@ -112,7 +112,7 @@ def solve(a: np.ndarray, b: np.ndarray, ridge: float) -> np.ndarray:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out_mod: int = 5, held_out_is: int = 0, threshold: float = 0.3, ridge: float = RIDGE) -> DataFrame:
-    """One row a document: doc_id, held_out, score, predicted.  Labels of held-out rows are never read."""
+    """One row a document: doc_id, held_out, score, predicted, key.  Labels of held-out rows are never read."""
     seen = materialize(with_statistics(docs, id_col, text_col), "statistics")
     own = narrowed(labels, [id_col, label_col]).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("double").alias("y"))
     own = own.filter(F.col("y").isNotNull() & (fold_column("doc_id", held_out_mod) != held_out_is)).groupBy("doc_id").agg(F.avg("y").alias("y"))
@@ -120,7 +120,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     train = materialize(train, "labelled")
     held = F.coalesce(fold_column("doc_id", held_out_mod) == held_out_is, F.lit(False))
     if train.isEmpty():
-        return seen.select("doc_id", held.alias("held_out"), F.lit(0.5).alias("score"), F.lit(int(threshold <= 0.5)).alias("predicted"))
+        return seen.select("doc_id", held.alias("held_out"), F.lit(0.5).alias("score"), F.lit(int(threshold <= 0.5)).alias("predicted"), "key")
     moments = seen.agg(*[f(F.col("x")[i]).alias(f"{n}{i}") for i in range(N_STATISTICS) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     phi = fourier_map(np.array([moments[f"m{i}"] for i in range(N_STATISTICS)]), np.array([moments[f"s{i}"] for i in range(N_STATISTICS)]))
     a, b = normal_equations(train, phi, FOURIER + 1)
@@ -137,7 +137,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def score(batches):
         for batch in batches:
             if len(batch):
-                yield pd.DataFrame({"doc_id": batch.doc_id, "score": calibrated(phi(np.stack(batch.x.to_list())) @ weights)})
+                yield pd.DataFrame({"doc_id": batch.doc_id, "key": batch.key, "score": calibrated(phi(np.stack(batch.x.to_list())) @ weights)})
 
-    scored = seen.mapInPandas(score, "doc_id long, score double")
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = seen.mapInPandas(score, "doc_id long, key long, score double")
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "key")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the rows that the classifier rejects."""
+    return without(docs, score_quality(docs, labels, id_col, text_col).filter("predicted = 0"), id_col, text_col)

@@ -16,7 +16,7 @@ from .warc import archive_and_read
 
 
 def op1_quality(spark, sf_dir):
-    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("key")
 
 
 def op2_exact_dedup(spark, sf_dir):
@@ -36,7 +36,7 @@ def op5_warc(spark, sf_dir):
 
 
 def op6_decontamination(spark, sf_dir):
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
 def op7_toxicity(spark, sf_dir):

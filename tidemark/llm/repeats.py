@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, narrowed, partitions, whole_text
+from .common import materialize, narrowed, partitions, row_key, whole_text
 
 LENGTH = 400
 #: Bytes of a document that are hashed at once; longer documents are read in overlapping stretches.
@@ -233,7 +233,7 @@ def covered(runs, length: int) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start:end, joined by commas)."""
-    rows = narrowed(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = narrowed(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("text")).withColumn("key", row_key("doc_id", "text"))
     runs = find_spans(rows.select("key", "text"), length).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("runs"))
 
     def cut(batches):
