@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, narrowed, partitions, whole_text
+from .common import materialize, narrowed, partitions, row_key, whole_text, without
 from .components import connected_components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -210,9 +210,9 @@ def signatures(rows: DataFrame) -> DataFrame:
 
 def candidate_links(reps: DataFrame) -> DataFrame:
     """Forests (a, b) over pairs of representatives (rep, bands, sig) that Bayesian pruning leaves in any bucket."""
-    spread = reps.select("rep", "sig", F.posexplode("bands").alias("band", "bucket"))
+    spread = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = spread.join(sizes, "bucket")
+    members = spread.join(sizes, "bucket").join(reps.select("rep", "sig"), "rep")
     members = in_blocks(members, "bucket", F.col("size"), "rep").select("bucket", "band", "i", "j", "own", "rep", "sig")
 
     def run(batches):
@@ -277,8 +277,7 @@ def _links(rows: list) -> pd.DataFrame:
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, class_id, n_links, and key, which tells rows with equal ids but unequal texts apart."""
-    rows = narrowed(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    rows = narrowed(docs, [id_col, text_col]).select(row_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     signed = materialize(signatures(rows), "signatures")
     sets = signed.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"))
     sets = materialize(sets, "sets")
@@ -303,6 +302,4 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of every class, that with the smallest id."""
     found = jaccard_join(docs, id_col, text_col)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("key").alias("__gone_key")).distinct()
-    own = F.xxhash64(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    return docs.join(gone, own == gone["__gone_key"], "left_anti")
+    return without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))), id_col, text_col)
