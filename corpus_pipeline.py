@@ -1,21 +1,53 @@
-"""The corpus pipeline: stages that each read what their predecessor kept."""
+"""The corpus pipeline: stages that each read what their predecessor kept, written as Parquet in between."""
 
 from __future__ import annotations
 
 from tidemark.llm.common import materialize, table
+from tidemark.llm.decontamination import drop_leaks
 from tidemark.llm.exact_dedup import keep_largest
+from tidemark.llm.jaccard_join import keep_one
+from tidemark.llm.pieces import encode
+from tidemark.llm.quality import keep_good
+
+
+def quality_stage(spark, docs, sf_dir):
+    """Documents that the quality classifier rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup_stage(spark, docs, sf_dir):
+    """Of equal texts the one with the largest id stays."""
     return keep_largest(docs)
 
 
-STAGES = [("exact dedup", exact_dedup_stage)]
+def near_dedup_stage(spark, docs, sf_dir):
+    """Of each class of similar texts the one with the smallest id stays."""
+    return keep_one(docs)
+
+
+def decontamination_stage(spark, docs, sf_dir):
+    """Documents that hold a benchmark item go."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pieces_stage(spark, docs, sf_dir):
+    """What stays, as sampled pieces that decode to the whole text."""
+    return encode(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_dedup_stage),
+    ("n-gram Jaccard join", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("sentencepiece", pieces_stage),
+]
+#: SQL cannot express the classifier, the sampled pieces or the latent search; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage")
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
     return STAGES[-1][1](spark, docs, sf_dir)
