@@ -31,9 +31,10 @@ WORD = re.compile(r" *[^ \n]+|\n+| +")
 LONGEST, STEPS = 48, 1 << 16
 SPACE, OWN_SPACE = 0x2581, 0x110000
 #: Characters that are encoded at once.
-GROUP = 6_000_000
+GROUP = 4_000_000
 #: Probabilities of a word's prefixes are scaled by this factor a character, to stay within doubles.
 SCALE = 64.0
+POWERS = SCALE ** np.arange(LONGEST + 1)
 M1, M2, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 HASH_BASE = np.uint64(0x5851F42D4C957F2D)
 
@@ -169,55 +170,55 @@ class Lattices:
         start, end, ids = (np.concatenate(x[::-1]) for x in (starts, ends, ids))  # the longest edges first, as the likeliest
         weight = np.where(ids >= 0, vocab.weight[np.maximum(ids, 0)], 0.0)
         weight[ids < 0] = vocab.byte_weight ** n_bytes(-ids[ids < 0] - 1)
-        weight *= SCALE ** (end - start)
+        weight *= POWERS[end - start]
         total = int(self.last[-1]) + 1 if len(words) else 0
-        within = np.zeros(total, dtype=np.int64)  # a place's offset in its word
+        within = np.zeros(total, dtype=np.uint8)  # a place's offset in its word
         within[place + 1] = offset + 1
         alpha = np.zeros(total)
         alpha[self.first] = 1.0
         order = np.argsort(end, kind="stable")
         start, end, ids, weight = start[order], end[order], ids[order], weight[order]
-        by_offset = np.argsort(within[end], kind="stable")
-        bounds = np.searchsorted(within[end][by_offset], np.arange(1, LONGEST + 2))
+        level = within[end]
+        by_offset = np.argsort(level, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(level, minlength=LONGEST + 1)[1:])])
         share = np.empty(len(end))
         for low, high in zip(bounds[:-1], bounds[1:], strict=True):
             if low == high:
                 continue
             e = by_offset[low:high]  # in the order of their ends
-            part = alpha[start[e]] * weight[e]
-            heads = np.flatnonzero(np.concatenate([[True], end[e][1:] != end[e][:-1]]))
+            part, to = alpha[start[e]] * weight[e], end[e]
+            heads = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
             sums = np.add.reduceat(part, heads)
-            alpha[end[e][heads]] = sums
+            alpha[to[heads]] = sums
             counts = np.diff(np.append(heads, len(e)))
             running = np.cumsum(part / np.repeat(sums, counts))
             running -= np.repeat(np.concatenate([[0.0], running[heads[1:] - 1]]), counts)
             share[e] = np.minimum(running, 1.0)
             share[e[np.append(heads[1:], len(e)) - 1]] = 1.0
         self.start, self.ids, self.share, self.alpha = start, ids, share, alpha
-        self.edge = np.searchsorted(end, np.arange(total))  # a place's first edge
+        counts = np.bincount(end, minlength=total)
+        self.edge = np.cumsum(counts) - counts  # a place's first edge
 
     def sample(self, word: np.ndarray, key: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For every occurrence a sampled path: the occurrence of each piece and its id, in the order of the text."""
         place, goal, who = self.last[word], self.first[word], np.arange(len(word))
-        kept, step = [], 0
+        count, kept = np.zeros(len(word), dtype=np.int64), []
         while len(who):
-            u = uniform(key[who], counter[who] + np.uint64(step))
+            u = uniform(key[who], counter[who] + np.uint64(len(kept)))
             edge = self.edge[place]
             beyond = np.flatnonzero(u >= self.share[edge])
             while len(beyond):
                 edge[beyond] += 1
                 beyond = beyond[u[beyond] >= self.share[edge[beyond]]]
             kept.append((who, self.ids[edge]))
+            count[who] += 1
             place = self.start[edge]
-            go = place > goal
+            go = np.flatnonzero(place > goal)
             place, goal, who = place[go], goal[go], who[go]
-            step += 1
-        if not kept:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        who = np.concatenate([a for a, _ in kept[::-1]])
-        ids = np.concatenate([b for _, b in kept[::-1]])
-        order = np.argsort(who, kind="stable")
-        return who[order], ids[order]
+        ids, after = np.empty(int(count.sum()), dtype=np.int64), np.cumsum(count)
+        for step, (who, piece) in enumerate(kept):  # paths are drawn from their ends
+            ids[after[who] - 1 - step] = piece
+        return np.repeat(np.arange(len(word)), count), ids
 
 
 def edges_at(points: list[int], i: int, vocab: Vocabulary) -> list[tuple[int, int, float]]:
@@ -350,14 +351,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             texts, keys = batch.text.to_list(), batch.key.to_numpy()
             for low, high in groups(list(map(len, texts))):
                 ids = encode_group(texts[low:high], keys[low:high].view(np.uint64), vocab, seed)
-                back = [decode_ids(x.tolist(), vocab) for x in ids]
+                back = [b"".join(map(vocab.bytes.__getitem__, x.tolist())) for x in ids]
                 yield pd.DataFrame(
                     {
                         "doc_id": batch.doc_id[low:high].to_numpy(),
                         "n_pieces": [len(x) for x in ids],
                         "ids": ids,
-                        "text_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back],
-                        "lossless": [a == b for a, b in zip(back, texts[low:high], strict=True)],
+                        "text_sha256": [hashlib.sha256(t).hexdigest() for t in back],
+                        "lossless": [a == b.encode("utf-8", "surrogatepass") for a, b in zip(back, texts[low:high], strict=True)],
                     }
                 )
 
