@@ -46,7 +46,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct 64-bit shingle hashes of texts; word hashes are remembered, up to a bound."""
 
-    def __init__(self, n: int = WORDS, most: int = 500_000) -> None:
+    def __init__(self, n: int = WORDS, most: int = 100_000) -> None:
         self.n, self.most, self.seen = n, most, {}
 
     def __call__(self, text: str) -> np.ndarray:
@@ -69,8 +69,8 @@ class Shingler:
 def signature(shingles: np.ndarray) -> np.ndarray:
     """MinHash values of a set, 32 bits each."""
     least = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for low in range(0, len(shingles), 2048):
-        np.minimum(least, (shingles[low : low + 2048, None] * MULTIPLY + ADD).min(axis=0), out=least)
+    for low in range(0, len(shingles), 256):
+        np.minimum(least, (shingles[low : low + 256, None] * MULTIPLY + ADD).min(axis=0), out=least)
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
@@ -250,14 +250,19 @@ def verified_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFram
         for g in by_group(batches, ["root", "i", "j"]):
             arrays = [shingler(t) for t in g["text"]]
             sig = short(np.stack([signature(s) for s in arrays]))
-            sets = [set(s.tolist()) for s in arrays]
+            sets: dict[int, set] = {}
             rep, copies, i, j = g["rep"].tolist(), g["copies"].tolist(), g["i"][0], g["j"][0]
             left, right = np.flatnonzero(g["own"] == i), np.flatnonzero(g["own"] == j)
             a, b = surviving_pairs(sig[left], None if i == j else sig[right])
             links, exact = {}, []
             for x, y in zip(left[a].tolist(), right[b].tolist(), strict=True):
-                p, q = len(sets[x]), len(sets[y])
-                if min(p, q) >= threshold * max(p, q) and jaccard(sets[x], sets[y]) >= threshold:
+                p, q = len(arrays[x]), len(arrays[y])
+                if min(p, q) < threshold * max(p, q):
+                    continue
+                for z in (x, y):
+                    if z not in sets:
+                        sets[z] = set(arrays[z].tolist())
+                if jaccard(sets[x], sets[y]) >= threshold:
                     exact.append((rep[x], rep[y]))
                     links[x] = links.get(x, 0) + copies[y]
                     links[y] = links.get(y, 0) + copies[x]
