@@ -99,6 +99,7 @@ def support(s, d):
 
 
 def support_negative(s, d):
+    """Absent rows count, too: every position has the support of all samples."""
     return calc_support(fixtures.ctss(s, d), unexpressed=-1).features.groupBy("support").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -192,7 +193,7 @@ def tx_id(s, d):
 
 def tx_id_models(s, d):
     exp, tcs = _clusters(s, d)
-    return assign_tx_id_from_models(tcs, fixtures.transcripts(s, d), exp.seqinfo, upstream=100).select("feature_id", F.size(F.split("txID", ";")).alias("n"))
+    return assign_tx_id_from_models(tcs, fixtures.transcripts(s, d), exp.seqinfo, upstream=100).select("feature_id", F.coalesce(F.size(F.split("txID", ";")), F.lit(0)).alias("n"))
 
 
 def missing_id(s, d):
@@ -293,7 +294,7 @@ def links_cor(s, d):
 
 def links_kendall(s, d):
     exp = _quantified(s, d)
-    return _round(link_correlations(find_links(exp, 10), exp, "counts", "kendall"), "estimate", "p_value")
+    return _round(link_correlations(find_links(exp, 22), exp, "counts", "kendall"), "estimate", "p_value")
 
 
 def tracks_ctss(s, d):
