@@ -61,16 +61,33 @@ def shape_weighted_mean(clusters: Features, pooled: Features, output: str = "wei
 def calc_shape(clusters: Features, pooled: Features, shape: Callable[..., float], output: str = "shape", **arguments) -> Features:
     """Any function from the dense signal of a cluster, as an array, to a number.  Clusters without strand get null.
 
-    The signal of one cluster meets in one task as its positions that are not zero; it is as long as the cluster is wide.
+    Clusters are dealt out and sorted, and a task reads them one after the other: what meets in memory is one cluster's
+    positions, an array as long as the cluster is wide.
     """
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        first, last = int(frame["start"].iloc[0]), int(frame["end"].iloc[0])
-        x = np.zeros(last - first + 1)
-        x[frame["pos"].to_numpy() - first] = frame["v"].to_numpy() / UNIT
-        return pd.DataFrame({"feature_id": [key[0]], "__stat": [float(shape(x, **arguments))]})
-
-    return _attached(clusters, _points(clusters, pooled).groupBy("feature_id").applyInPandas(run, "feature_id string, __stat double"), output)
+    def run(batches):
+        held = None
+        for batch in _ended(batches):
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            names = batch["feature_id"].to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1], [True]]))
+            # the last cluster may go on in the next batch; the end is a row without name
+            first, last, at, v = (batch[c].to_numpy() for c in ("start", "end", "pos", "v"))
+            out = []
+            for low, high in zip(cuts[:-2], cuts[1:-1], strict=True):
+                x = np.zeros(last[low] - first[low] + 1)
+                x[at[low:high] - first[low]] = v[low:high] / UNIT
+                out.append((names[low], float(shape(x, **arguments))))
+            held = batch.iloc[cuts[-2] :]
+            yield pd.DataFrame(out, columns=["feature_id", "__stat"])
+
+    points = _points(clusters, pooled).repartition("feature_id").sortWithinPartitions("feature_id", "pos")
+    return _attached(clusters, points.mapInPandas(run, "feature_id string, __stat double"), output)
+
+
+def _ended(batches):
+    yield from (b for b in batches if len(b))
+    yield pd.DataFrame({"feature_id": [""], "start": [0], "end": [0], "pos": [0], "v": [0]})
 
 
 def isotonic_rss(y: np.ndarray) -> np.ndarray:

@@ -184,24 +184,13 @@ class Tile(InputPartition):
 
 
 class BigWigReader(DataSourceReader):
-    """One partition for each file and tile; filters on seqname select chromosomes before anything is read."""
+    """One partition for each file and tile."""
 
     def __init__(self, options: dict) -> None:
         self.paths = [p for p in options["path"].split(",") if p]
         self.tile = int(options.get("tileWidth", 0))
         self.chroms: set[str] | None = None
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("seqname",):
-                self._only({f.value})
-            elif isinstance(f, In) and f.attribute == ("seqname",):
-                self._only(set(f.value))
-            yield f  # Spark looks again at all of them
-
-    def _only(self, names: set) -> None:
-        self.chroms = names if self.chroms is None else self.chroms & names
-
     def partitions(self):
         out = []
         for p in self.paths:
@@ -239,6 +228,21 @@ def _batch(rows: list, path: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["seqname", "start", "end", "score", "path"])
 
 
+class SelectiveReader(BigWigReader):
+    """Filters on seqname select chromosomes before anything is read."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("seqname",):
+                self._only({f.value})
+            elif isinstance(f, In) and f.attribute == ("seqname",):
+                self._only(set(f.value))
+            yield f  # Spark looks again at all of them
+
+    def _only(self, names: set) -> None:
+        self.chroms = names if self.chroms is None else self.chroms & names
+
+
 class BigWigSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -248,7 +252,7 @@ class BigWigSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> BigWigReader:
-        return BigWigReader(self.options)
+        return (SelectiveReader if self.options.get("pushdown") == "true" else BigWigReader)(self.options)
 
 
 def read_bigwig(spark, paths: str | list[str], strand: str, tile_width: int | None = None):
@@ -257,7 +261,9 @@ def read_bigwig(spark, paths: str | list[str], strand: str, tile_width: int | No
 
     spark.dataSource.register(BigWigSource)
     reader = spark.read.format("bigwig").option("path", paths if isinstance(paths, str) else ",".join(paths))
-    rows = reader.option("tileWidth", tile_width or 0).load()
+    # Spark hands filters to Python sources only where the session allows it
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    rows = reader.option("tileWidth", tile_width or 0).option("pushdown", pushdown).load()
     return rows.select("seqname", "start", "end", F.lit(strand).alias("strand"), "score", "path")
 
 
