@@ -124,6 +124,33 @@ def test_jaccard_join(spark):
     assert jaccard_join.keep_one(documents(spark)).columns == documents(spark).columns
 
 
+def test_isolated_near_pairs_are_found(spark):
+    rng, texts, want = random.Random(8), [], {}
+    for k in range(2500):
+        w, changed = [f"{k}.{i}" for i in range(104)], rng.randint(3, 11)
+        texts += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:-changed] + [f"{k}x{i}" for i in range(changed)]))]
+        want |= dict.fromkeys((2 * k, 2 * k + 1), int(100 - changed >= 0.8 * (100 + changed)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in jaccard_join.jaccard_join(docs).collect()} == want and sum(want.values()) == 5000
+
+
+def test_candidates_meet_in_any_common_bucket(spark):
+    # the short signatures agree in all bands, the buckets only in the last one
+    reps = [(r, [r * 100 + k for k in range(31)] + [7], bytes(128)) for r in (1, 2)]
+    got = jaccard_join.candidate_links(spark.createDataFrame(reps, "rep long, bands array<long>, sig binary")).collect()
+    assert [(r.a, r.b) for r in got] == [(2, 1)]
+
+
+def test_least_members():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = rng.integers(0, 40, (2, rng.integers(0, 60)))
+        want = list(range(40))
+        for x, r in jaccard_join.forest(zip(a.tolist(), b.tolist(), strict=True)):
+            want[x] = r
+        assert jaccard_join.least_members(a, b, 40).tolist() == want
+
+
 def test_blocks_deal_every_pair_once(spark):
     df = spark.range(700).select(F.lit(1).alias("g"), F.col("id").alias("m"))
     got = jaccard_join.in_blocks(df, "g", F.lit(700), "m").collect()

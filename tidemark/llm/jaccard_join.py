@@ -3,7 +3,7 @@
 A document is the set of its five-word shingles (lower case, split at white space); shorter texts are one shingle.
 Documents with equal sets form a class and are represented by one of them.  Representatives meet in the buckets
 of `BANDS` MinHash bands of `ROWS` values: a pair at the threshold of 0.8 shares no band with a probability of
-5e-8.  A pair is looked at in the first band it shares.  Its MinHash values are compared `STEP` at a time; as
+5e-8.  A pair is looked at in every band it shares.  Its MinHash values are compared `STEP` at a time; as
 soon as the posterior probability that its similarity reaches the threshold falls below `TOLERANCE`, it is
 dropped.  Survivors' components decide which texts meet again for verification: there all pairs of a component are
 pruned in the same way and the rest compared exactly, set by set.
@@ -98,9 +98,8 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, st
 FEWEST = least_matches()
 
 
-def surviving_pairs(one: np.ndarray, two: np.ndarray | None, band: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of `one` and `two` (or of `one` with itself, i < j) that Bayesian pruning leaves; with `band` only those
-    whose first common band it is."""
+def surviving_pairs(one: np.ndarray, two: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of `one` and `two` (or of `one` with itself, i < j) that Bayesian pruning leaves."""
     other = one if two is None else two
     kept = []
     for low in range(0, len(one), 256):
@@ -121,10 +120,6 @@ def surviving_pairs(one: np.ndarray, two: np.ndarray | None, band: int | None =
                 matches += (part[i, n - STEP : n] == piece[j, n - STEP : n]).sum(1, dtype=np.int32)
                 stay = matches >= FEWEST[n]
                 i, j, matches = i[stay], j[stay], matches[stay]
-            if band is not None and len(i):
-                a, b = np.ascontiguousarray(part).view(np.uint32), np.ascontiguousarray(piece).view(np.uint32)
-                first = (a[i] == b[j]).argmax(1) == band
-                i, j = i[first], j[first]
             kept.append((i + low, j + start))
     if not kept:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -149,6 +144,19 @@ def forest(pairs) -> list[tuple[int, int]]:
     return [(x, r) for x in parent if (r := root(x)) != x]
 
 
+def least_members(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of the numbers below n, the least one of its component under the pairs (a, b)."""
+    least = np.arange(n)
+    while len(a):
+        x, y = least[a], least[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while ((up := least[least]) != least).any():
+            least = up
+    return least
+
+
 def by_group(batches, names: list[str]):
     """Groups of rows with equal values of `names` from batches sorted by them, as lists of columns."""
     held, columns = None, None
@@ -210,23 +218,26 @@ def signatures(rows: DataFrame) -> DataFrame:
 
 def candidate_links(reps: DataFrame) -> DataFrame:
     """Forests (a, b) over pairs of representatives (rep, bands, sig) that Bayesian pruning leaves in any bucket."""
-    spread = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    spread = reps.select("rep", F.explode("bands").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = spread.join(sizes, "bucket").join(reps.select("rep", "sig"), "rep")
-    members = in_blocks(members, "bucket", F.col("size"), "rep").select("bucket", "band", "i", "j", "own", "rep", "sig")
+    members = in_blocks(members, "bucket", F.col("size"), "rep").select("bucket", "i", "j", "own", "rep", "sig")
 
     def run(batches):
         edges: list = []
         for g in by_group(batches, ["bucket", "i", "j"]):
-            sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(-1, HASHES)
-            rep, i, j = g["rep"], g["i"][0], g["j"][0]
+            order = np.argsort(g["rep"])  # the same members give the same forest in every band
+            sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(-1, HASHES)[order]
+            rep, own, i, j = g["rep"][order], g["own"][order], g["i"][0], g["j"][0]
             if i == j:
-                a, b = surviving_pairs(sig, None, int(g["band"][0]))
-                edges += forest(zip(rep[a].tolist(), rep[b].tolist(), strict=True))
+                a, b = surviving_pairs(sig, None)
             else:
-                left, right = np.flatnonzero(g["own"] == i), np.flatnonzero(g["own"] == j)
-                a, b = surviving_pairs(sig[left], sig[right], int(g["band"][0]))
-                edges += forest(zip(rep[left[a]].tolist(), rep[right[b]].tolist(), strict=True))
+                left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+                a, b = surviving_pairs(sig[left], sig[right])
+                a, b = left[a], right[b]
+            least = least_members(a, b, len(rep))
+            linked = np.flatnonzero(least < np.arange(len(rep)))
+            edges += zip(rep[linked].tolist(), rep[least[linked]].tolist(), strict=True)
             if len(edges) > 50_000:
                 yield pd.DataFrame(edges, columns=["a", "b"])
                 edges = []
