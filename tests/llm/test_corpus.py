@@ -282,6 +282,23 @@ def test_decontamination(spark):
     assert decontamination.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_long_items_are_found(spark):
+    def text(seed, n):
+        rng = random.Random(seed)
+        return [f"w{int(3000 * rng.random() ** 3)}" for _ in range(n)]
+
+    items = {i: text(2000 + i, n) for i, n in enumerate((45, 60, 120, 150, 200, 300, 400))}
+    texts = {i: text(i, 150) for i in range(20)}
+    for i, item in items.items():
+        texts[100 + i] = text(300 + i, 33 + 7 * i) + item + text(400 + i, 50)
+        texts[200 + i] = text(500 + i, 20 + 3 * i) + [w if k % 6 else "other" for k, w in enumerate(item)] + text(600 + i, 50)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    want = {(d, i) for d, t in texts.items() for i, item in items.items() if decontamination.is_leak(*decontamination.best_match(item, t)[:2])}
+    assert {(100 + i, i) for i in items} | {(200 + i, i) for i in items} <= want
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench).collect()} == want
+
+
 def test_bit_parallel_lcs():
     rng = random.Random(2)
     for _ in range(200):

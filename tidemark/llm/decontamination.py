@@ -5,7 +5,8 @@ their inverse document frequency over all documents.  A passage is two neighbour
 distributed randomised SVD of the TF-IDF passages that could match an item, of all documents, and of the benchmark (whose rows weigh
 `EMPHASIS` times as much as all others together) gives `RANK` latent directions at most: partitions sum A'(A Q) for a
 random Q, a sum whose size depends on the vocabulary alone, and its orthonormal basis spans the directions.  Every passage is compared with
-every item by cosine in blocks; a passage of cosine `LEAST_COSINE` or more is a candidate for the item.
+every item by cosine in blocks; a passage of cosine `LEAST_COSINE` or more is a candidate for the item.  Items longer than a
+passage are searched for as a whole and by overlapping pieces of a passage's length.
 
 A candidate is verified on the words around it: of windows a little longer than the item, the best longest
 common subsequence must hold `SURE` of the item's words, or `LIKELY` of them if it also holds `ANSWER` of the
@@ -60,6 +61,17 @@ class Terms:
         return np.fromiter((get(w, -1) for w in ws), dtype=np.int32, count=len(ws))
 
 
+def queries_of(items: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """What is searched for, and the item that each belongs to: the items, and pieces as long as a passage of those that are longer."""
+    queries, of = list(items), list(range(len(items)))
+    for i, x in enumerate(items):
+        if len(x) > 2 * BLOCK:
+            starts = [*range(0, len(x) - 2 * BLOCK, BLOCK), len(x) - 2 * BLOCK]
+            queries += [x[s : s + 2 * BLOCK] for s in starts]
+            of += [i] * len(starts)
+    return queries, np.array(of, dtype=np.int32)
+
+
 def lcs_length(item: list, ws: list) -> int:
     """Bit-parallel longest common subsequence."""
     masks: dict = {}
@@ -261,14 +273,14 @@ def latent_basis(read: DataFrame, items: list[np.ndarray], weights: Weights) ->
     return (q * idf[:, None]).astype(np.float32)
 
 
-def candidates(read: DataFrame, basis: np.ndarray, items: list[np.ndarray], weights: Weights) -> DataFrame:
-    """key, item, block, cosine of all passages near an item.
+def candidates(read: DataFrame, basis: np.ndarray, queries: list[np.ndarray], of: np.ndarray, weights: Weights) -> DataFrame:
+    """key, item, block, cosine of all passages near an item or a piece of it.
 
     The cosine has the item's length for passages that are shorter, so that one rare term is not much alike.
     """
-    projected = np.stack([basis[x].sum(0) for x in items])
+    projected = np.stack([basis[x].sum(0) for x in queries])
     length = np.sqrt((projected**2).sum(1)).clip(1e-3)
-    shared = read.sparkSession.sparkContext.broadcast((basis, weights.square, projected / (length**2)[:, None], length, LEAST_COSINE * weights.lengths(items).min()))
+    shared = read.sparkSession.sparkContext.broadcast((basis, weights.square, projected / (length**2)[:, None], length, LEAST_COSINE * weights.lengths(queries).min()))
 
     def run(batches):
         w, square, goal, length, least = shared.value
@@ -288,7 +300,7 @@ def candidates(read: DataFrame, basis: np.ndarray, items: list[np.ndarray], weig
             if hits:
                 where, item, cosine = (np.concatenate(x) for x in zip(*hits, strict=True))
                 doc = np.maximum(np.searchsorted(first, where, side="right") - 1, 0)
-                yield pd.DataFrame({"key": batch.key.to_numpy()[doc], "item": item.astype(np.int32), "block": (where - first[doc]).astype(np.int32), "cosine": cosine.astype(float)})
+                yield pd.DataFrame({"key": batch.key.to_numpy()[doc], "item": of[item], "block": (where - first[doc]).astype(np.int32), "cosine": cosine.astype(float)})
 
     return read.mapInPandas(run, "key long, item int, block int, cosine double")
 
@@ -307,9 +319,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     read = materialize(read_terms(rows, spark.sparkContext.broadcast(terms)), "terms")
     frequency, n = document_frequency(read, terms.size)
     items = [terms.of(ws) for _, ws in listed]
-    weights = Weights(items, frequency, n)
-    basis = latent_basis(read, items, weights)
-    near = candidates(read, basis, items, weights).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("item", "block", "cosine"))).alias("near"))
+    queries, of = queries_of(items)
+    weights = Weights(queries, frequency, n)
+    basis = latent_basis(read, queries, weights)
+    near = candidates(read, basis, queries, of, weights).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("item", "block", "cosine"))).alias("near"))
     shared = spark.sparkContext.broadcast(listed)
 
     def verify(batches):
