@@ -248,6 +248,24 @@ def test_secrets(spark):
     assert secret_scan.find_secrets(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz"])
+@pytest.mark.parametrize("n", [20, 32])
+def test_random_strings_are_not_identifiers(letters, n):
+    with open(secret_scan.VOCABULARY, "rb") as f:
+        encode = secret_scan.encoder(f.read()).encode_ordinary
+    rng = random.Random(n)
+    runs = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(300)]
+    inefficient = [len(r) / len(encode(r)) < secret_scan.MOST_RATIO for r in runs]
+    assert [bool(secret_scan.random_spans(r, encode)) for r in runs] == inefficient and sum(inefficient) > 270
+
+
+def test_names_are_no_secrets():
+    with open(secret_scan.VOCABULARY, "rb") as f:
+        encode = secret_scan.encoder(f.read()).encode_ordinary
+    for name in ("thisIsAnIdentifierName", "user_profile_image_url_2", "MAX_RETRY_COUNT_DEFAULT", "2024-01-15-10-30-00", "internationalization", "src/main/java/org/example/Server", "AbstractConnectionFactory42"):
+        assert secret_scan.random_spans(name, encode) == []
+
+
 PAGES = {
     "<html><body><nav><a href=x>Home</a></nav><article><h1>T&amp;t</h1><p><b>One\n two<br>three<p>Ti.</p><div class='ad'>Buy</div><p>End</article><footer>f</footer>": "T&t\n\nOne two three\n\nTi.\n\nEnd",
     "<div id=menu><a>a</a></div><div><h1>Title of a page</h1><p>" + "word " * 30 + "</p><p>x</p><p>" + "more " * 30 + "</p></div><div class='comments'><p>" + "no " * 90 + "</p></div>": "Title of a page\n\n" + ("word " * 30).strip() + "\n\nx\n\n" + ("more " * 30).strip(),

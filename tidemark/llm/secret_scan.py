@@ -3,7 +3,7 @@
 The base kinds are `assign`, `access` and `hex`.  The method adds kind `random`: a run of at least `LEAST_RUN`
 base64 or url characters that a byte-pair vocabulary can only split into short tokens.  Natural words and
 identifiers need few tokens; random strings need about one for every one or two characters.  Known digests
-(hex of a digest's length, UUIDs) and identifiers (words joined by separators or capitals, numbers) are excluded first.
+(hex of a digest's length, UUIDs) and identifiers (real words joined by separators or capitals, numbers) are excluded first.
 
 Defined results: null text is empty and has no secrets; rows given twice are scanned twice; further columns are ignored.
 """
@@ -25,6 +25,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KINDS = ("assign", "access", "hex", "random")
 LEAST_RUN, MOST_RATIO = 16, 2.1
+#: Letters of a real word, and characters of it to a token.
+LEAST_WORD, WORD_RATIO = 4, 3.5
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so a shorter run is what would be dropped
@@ -56,19 +58,29 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def is_identifier(run: str) -> bool:
-    """Words joined by separators or capitals, with short numbers: what people name things."""
+def is_identifier(run: str, encode) -> bool:
+    """Words joined by separators or capitals, with short numbers: what people name things.
+
+    Half of its letters and digits at least must stand in real words, which the vocabulary holds in long tokens; a
+    run without letters is a number.
+    """
     rest = WORDS.sub("", run)
-    return not rest or len(rest) * 8 <= len(run)
+    if rest and len(rest) * 8 > len(run):
+        return False
+    if not any(c.isalpha() for c in run):
+        return True
+    parts = [m[0].lower() for m in WORDS.finditer(run) if m[0].isalpha() and len(m[0]) >= LEAST_WORD]
+    real = sum(len(p) for p in parts if len(p) >= WORD_RATIO * len(encode(p)))
+    return 2 * real >= sum(c.isalnum() for c in run)
 
 
 def random_spans(text: str, encode, most: float = MOST_RATIO) -> list[tuple[int, int, str]]:
     found = []
     for m in RUN.finditer(text):
         run = m[0].strip("=-_/+")
-        if len(run) < LEAST_RUN or run.isalpha() and (run.islower() or run.isupper() or run.istitle()) or run.isdigit():
+        if len(run) < LEAST_RUN or run.isdigit():
             continue
-        if DIGEST.fullmatch(run) or is_identifier(run):
+        if DIGEST.fullmatch(run) or is_identifier(run, encode):
             continue
         if len(run) / len(encode(run)) < most:
             start = m.start() + m[0].index(run)
