@@ -358,6 +358,20 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_keeps_the_base_rate(spark, monkeypatch):
+    # a word that stands in every toxic and in three times as many clean documents: 25 % of those that hold it are toxic
+    rng = random.Random(12)
+    order = [0] * 200 + [1] * 600 + [2] * 1200
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(i, prose(i, 30) + (" scum trash" if k < 2 else "")) for i, k in enumerate(order)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k == 0)) for i, k in enumerate(order)], "doc_id long, toxic int")
+    for most in (20_000, 100):
+        monkeypatch.setattr(toxicity, "MOST_TRAIN", most)
+        got = toxicity.score_toxicity(docs, labels).collect()
+        assert abs(np.mean([r.score for r in got]) - 0.1) < 0.05
+        assert abs(np.mean([r.score for r in got if order[r.doc_id] < 2]) - 0.25) < 0.12
+
+
 def test_segments_equal_brute_force():
     rng = random.Random(6)
     for _ in range(200):

@@ -43,10 +43,11 @@ class Isotonic:
 
 
 def fit_isotonic(scored: DataFrame, low: float, high: float, bins: int = 2000) -> Isotonic:
-    """`scored` has raw and y; rows are counted by bin where they lie, and at most `bins` + 1 rows reach the driver."""
+    """`scored` has raw and y, and weight if rows stand for more than themselves; rows are counted by bin where they lie, and at
+    most `bins` + 1 rows reach the driver."""
     step = (high - low) / bins
-    binned = scored.select(F.round((F.greatest(F.lit(low), F.least(F.lit(high), F.col("raw"))) - low) / step).cast("int").alias("bin"), "y")
-    rows = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean")).toPandas()
+    binned = scored.select(F.round((F.greatest(F.lit(low), F.least(F.lit(high), F.col("raw"))) - low) / step).cast("int").alias("bin"), "y", F.col("weight") if "weight" in scored.columns else F.lit(1.0).alias("weight"))
+    rows = binned.groupBy("bin").agg(F.sum("weight").alias("n"), (F.sum(F.col("weight") * F.col("y")) / F.sum("weight")).alias("mean")).toPandas()
     prior = float((rows["n"] * rows["mean"]).sum() / rows["n"].sum()) if len(rows) else 0.5
     return Isotonic(low + step * rows["bin"].to_numpy(dtype=float), rows["n"], rows["mean"], prior)
 

@@ -10,7 +10,9 @@ significant segments, or of its best one; isotonic regression on training rows t
 have not seen turns it into a probability.
 
 The training rows are bounded: of either class `MOST_TRAIN` rows at most, by hash of the id, and the vocabulary
-holds the `MOST_UNITS` units found in most toxic rows.  All documents are scored, whole.
+holds the `MOST_UNITS` units found in most toxic rows.  A training row weighs as many labelled rows of its class as it
+stands for, in the prior and in the calibration, so that the bound leaves the classes' ratio as it is.  All documents are
+scored, whole.
 
 Defined results: null text is empty; every text gets a score, the empty one the lowest; several labels of a
 document count as toxic if any is; without toxic labels every score is 0; without an id a row is not held out
@@ -44,13 +46,14 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, prior: float = PRIOR, bound: float = BOUND) -> np.ndarray:
+def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, prior: float = PRIOR, bound: float = BOUND, weigh: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
     """The lower bound of each unit's log-odds of toxic against clean; 0 where it is not above 0.
 
-    The prior counts as `prior` documents, or PRIOR_SHARE of the training documents if those are few.
+    The prior counts as `prior` documents, or PRIOR_SHARE of the training documents if those are few.  `weigh` has the
+    labelled documents that one of the clean and of the toxic training documents stands for.
     """
     prior = min(prior, PRIOR_SHARE * (n_toxic + n_clean))
-    a = prior * (toxic + clean) / max(1.0, n_toxic + n_clean)
+    a = prior * (weigh[1] * toxic + weigh[0] * clean) / max(1.0, weigh[1] * n_toxic + weigh[0] * n_clean)
     rate = lambda y, n: np.log((y + a) / np.maximum(n + prior - y - a, 0.5))
     deviation = np.sqrt(1 / (toxic + a) + 1 / (clean + a))
     return np.maximum(0.0, rate(toxic, n_toxic) - rate(clean, n_clean) - bound * deviation)
@@ -138,13 +141,13 @@ def count_units(rows: DataFrame, only: dict[str, int] | None = None) -> DataFram
 
 
 def fit_scores(train: DataFrame) -> tuple[dict[str, float], int, int]:
-    """Token units with their log-odds, from rows (text, y)."""
-    sizes = {r.y: r.n for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    """Token units with their log-odds, from rows (text, y, weight)."""
+    sizes = {r.y: (r.n, r.weight) for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight")).collect()}
+    (n_clean, of_clean), (n_toxic, of_toxic) = (sizes.get(y, (0, 1.0)) for y in (0, 1))
     toxic = {r.unit: r.n for r in count_units(train.filter("y = 1")).filter(F.col("n") >= LEAST_TOXIC).orderBy(F.desc("n"), "unit").limit(MOST_UNITS).collect()}
     clean = {r.unit: r.n for r in count_units(train.filter("y = 0"), dict.fromkeys(toxic, 0)).collect()}
     names = list(toxic)
-    odds = log_odds(np.array([toxic[u] for u in names], dtype=float), np.array([clean.get(u, 0) for u in names], dtype=float), n_toxic, n_clean)
+    odds = log_odds(np.array([toxic[u] for u in names], dtype=float), np.array([clean.get(u, 0) for u in names], dtype=float), n_toxic, n_clean, weigh=(of_clean, of_toxic))
     return {u: float(round(s, 3)) for u, s in zip(names, odds, strict=True) if s > 0}, n_toxic, n_clean
 
 
@@ -152,9 +155,10 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, mo
     own = narrowed(labels, [id_col, label_col]).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     own = own.filter(F.col("y").isin(0, 1) & (fold_column("doc_id", mod) != held)).groupBy("doc_id").agg(F.max("y").alias("y"))
     place = F.xxhash64("doc_id", F.lit(7))
-    sample = [own.filter(F.col("y") == y).orderBy(place, "doc_id").limit(MOST_TRAIN) for y in (0, 1)]
-    sample = F.broadcast(sample[0].unionByName(sample[1]))  # 2 * MOST_TRAIN rows of two numbers at most
-    return docs.join(sample, "doc_id").select("doc_id", "text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(10)) < 7).alias("learns"))
+    sizes = {r.y: r.n for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = [own.filter(F.col("y") == y).orderBy(place, "doc_id").limit(MOST_TRAIN).withColumn("weight", F.lit(max(1.0, sizes.get(y, 0) / MOST_TRAIN))) for y in (0, 1)]
+    sample = F.broadcast(sample[0].unionByName(sample[1]))  # 2 * MOST_TRAIN rows of three numbers at most
+    return docs.join(sample, "doc_id").select("doc_id", "text", "y", "weight", (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(10)) < 7).alias("learns"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out_mod: int = 3, held_out_is: int = 1, threshold: float = 0.7) -> DataFrame:
@@ -194,9 +198,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     def raw(batches):
         scores = TokenScores(shared.value)
         for batch in batches:
-            yield pd.DataFrame({"raw": [value(*scan(t, scores), lam, k) for t in batch.text], "y": batch.y.astype(float)})
+            yield pd.DataFrame({"raw": [value(*scan(t, scores), lam, k) for t in batch.text], "y": batch.y.astype(float), "weight": batch.weight})
 
-    calibrated = fit_isotonic(train.filter("NOT learns").select("text", "y").mapInPandas(raw, "raw double, y double"), -20.0, 60.0, 800)
+    calibrated = fit_isotonic(train.filter("NOT learns").select("text", "y", "weight").mapInPandas(raw, "raw double, y double, weight double"), -20.0, 60.0, 800)
 
     def score(batches):
         scores = TokenScores(shared.value)
