@@ -275,6 +275,22 @@ PAGES = {
 }
 
 
+LONG = ("word " * 40).strip()
+WRAPPED = {
+    f"<div class='content-sidebar-wrap'><main><article><h1>T</h1><p>{LONG}</p><div class=ad>Buy</div></article></main></div>": f"T\n\n{LONG}",
+    f"<form action=x><div><h1>Title of a page</h1><p>{LONG}</p><div class=ad>Buy</div><p>End</p></div></form>": f"Title of a page\n\n{LONG}\n\nEnd",
+    f"<body class=x><div class='page has-sidebar'><p>{LONG}</p><div class=sidebar><p>more</p></div></div>": LONG,
+    f"<article><p>One {LONG}</p></article><article><p>Two</p></article><article class=comment><p>no</p></article>": f"One {LONG}\n\nTwo",
+    f"<article><p>{LONG}</p></article><div class=related><article><p>{LONG} {LONG}</p></article></div>": LONG,
+    f"<p>{LONG}</p><div class=comments><form><p>{LONG} {LONG}</p></form></div>": LONG,
+}
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+def test_wrappers_do_not_take_the_article(page):
+    assert html_text.main_text(page) == WRAPPED[page]
+
+
 @pytest.mark.parametrize("page", PAGES)
 def test_main_text(page):
     assert html_text.main_text(page) == PAGES[page]

@@ -5,8 +5,9 @@ outside links; a window's sum runs over `WINDOW` lines.  The main text begins wh
 line of a run of windows that reach `SURGE` characters) and ends where they dive to nothing; of several such
 stretches the heaviest is kept, whole, with all its lines, however short.  Blocks that the page itself declares
 to be something else (menus, headers, footers, sidebars, notices, adverts, forms, comments, by element, role,
-class or id) have no weight and are never text; lines of a declared article always have full weight, so an
-article is one stretch from its first line to its last.
+class or id) have no weight and are never text; but a form, or a block declared by name alone and not comments, is a mere
+wrapper if it holds most of the page's text outside links, or the article where none stands free.  Lines of a declared article always have full weight, so an
+article is one stretch from its first line to its last; several articles are all kept.
 
 Defined results: null or empty html and pages without text give an empty text; a cut-off page is read as far as
 it goes; an incomplete last tag is dropped; repeated rows give repeated results; further columns are ignored.
@@ -34,7 +35,7 @@ BLOCK = frozenset(
 )
 #: Elements that an opening tag of the same kind, or of the kinds named, closes.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-OUTSIDE = frozenset("head nav footer aside form button select menu dialog fieldset".split())
+OUTSIDE = frozenset("head nav footer aside button select menu dialog fieldset".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 ARTICLE = frozenset(("article", "main"))
 # fixed values: words of class and id that declare a block to be other than main text
@@ -55,38 +56,44 @@ def name_words(found: dict[str, str]) -> set[str]:
     return {w.lower() for k in ("class", "id") for w in NAME_WORD.findall(found.get(k, ""))}
 
 
-def is_outside(tag: str, raw: str, in_article: bool) -> bool:
-    """Whether the element declares itself to be something other than main text."""
+INSIDE, WRAPPER, OUT = 0, 1, 2
+
+
+def is_outside(tag: str, raw: str, in_article: bool) -> int:
+    """Whether the element declares itself to be something other than main text: OUT, or WRAPPER if it may be a mere wrapper."""
     if tag in OUTSIDE or (tag == "header" and not in_article):
-        return True
+        return OUT
     if not raw or tag in ("html", "body"):
-        return False
+        return WRAPPER if tag == "form" else INSIDE
     found = attributes(raw)
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
-        return True
+        return OUT
     words = name_words(found)
     if tag in ARTICLE:
-        return bool(words & COMMENT_NAMES)
-    return bool(words & OUTSIDE_NAMES) or found.get("role", "").lower() in OUTSIDE_ROLES
+        return OUT if words & COMMENT_NAMES else INSIDE
+    role = found.get("role", "").lower()
+    if words & COMMENT_NAMES or (role in OUTSIDE_ROLES and not (tag == role == "form")):
+        return OUT
+    return WRAPPER if words & OUTSIDE_NAMES or tag == "form" else INSIDE
 
 
 class Lines:
-    """The blocks of a page in order: text, length outside links, whether outside the main text, number of its article or 0."""
+    """The blocks of a page in order: text, length outside links, numbers of the possible wrappers around it, number of its article or 0."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int, bool, int]] = []
+        self.rows: list[tuple[str, int, tuple[int, ...], int]] = []
         self.parts: list[str] = []
         self.plain = 0
-        self.stack: list[tuple[str, bool, int]] = []  # element, outside, article
-        self.links = self.articles = 0
+        self.stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # element, outside, article, wrappers
+        self.links = self.articles = self.wrappers = 0
 
-    def state(self) -> tuple[bool, int]:
-        return (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
+    def state(self) -> tuple[bool, int, tuple[int, ...]]:
+        return self.stack[-1][1:] if self.stack else (False, 0, ())
 
     def flush(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                self.rows.append((text, min(self.plain, len(text)), *self.state()))
+                self.rows.append((text, min(self.plain, len(text)), self.state()[2], self.state()[1]))
             self.parts, self.plain = [], 0
 
     def text(self, raw: str) -> None:
@@ -105,16 +112,20 @@ class Lines:
             return
         if tag in CLOSES and self.stack and self.stack[-1][0] in CLOSES[tag]:
             self.close(self.stack[-1][0])
-        outside, article = self.state()
-        outside = outside or is_outside(tag, raw, bool(article))
+        before, article, around = self.state()
+        declared = OUT if before else is_outside(tag, raw, bool(article))
+        outside = declared == OUT
         if tag in ARTICLE and not outside and not article:
             self.articles += 1
             article = self.articles
         if tag == "a":
             self.links += 1
-        if outside and not self.state()[0]:
+        if declared and not before:
             self.flush()
-        self.stack.append((tag, outside, article))
+        if declared == WRAPPER:
+            self.wrappers += 1
+            around = (*around, self.wrappers)
+        self.stack.append((tag, outside, article, around))
 
     def close(self, tag: str) -> None:
         at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
@@ -124,13 +135,13 @@ class Lines:
             return
         if tag not in BLOCK and any(x[0] in BLOCK for x in self.stack[at + 1 :]):
             return  # an inline end tag does not end the block it stands in
-        if any(x[0] in BLOCK or x[1] for x in self.stack[at:]):
+        if any(x[0] in BLOCK or x[1] for x in self.stack[at:]) or self.stack[-1][3] != (self.stack[at - 1][3] if at else ()):
             self.flush()
         self.links -= sum(x[0] == "a" for x in self.stack[at:])
         del self.stack[at:]
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool, int]]:
+def page_lines(page: str) -> list[tuple[str, int, tuple[int, ...], int]]:
     lines, at, size = Lines(), 0, len(page)
     while at < size:
         lt = page.find("<", at)
@@ -191,17 +202,33 @@ def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> l
     return found
 
 
+def unwrapped(rows: list[tuple[str, int, tuple[int, ...], int]]) -> list[tuple[str, int, tuple[int, ...], int]]:
+    """The rows that stand in mere wrappers only."""
+    if not any(r[2] for r in rows):
+        return rows
+    free = any(r[3] and not r[2] for r in rows)
+    first: dict[int, int] = {}  # of every article, the wrappers around all of it
+    for r in rows:
+        if r[3]:
+            first[r[3]] = min(first.get(r[3], len(r[2])), len(r[2]))
+    mere = set() if free else {w for r in rows if r[3] for w in r[2][: first[r[3]]]}
+    size: dict[int, int] = {}
+    for _, plain, around, _ in rows:
+        for w in around:
+            size[w] = size.get(w, 0) + plain
+    total = sum(r[1] for r in rows)
+    if not any(r[3] for r in rows):
+        mere |= {w for w, n in size.items() if 2 * n > total}
+    return [r for r in rows if mere.issuperset(r[2])]
+
+
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
-    rows = [r for r in page_lines(page) if not r[2]]
-    declared: dict[int, int] = {}
-    for text, _, _, article in rows:
-        if article:
-            declared[article] = declared.get(article, 0) + len(text)
+    rows = unwrapped(page_lines(page))
+    declared = any(r[3] for r in rows)
     weights = [max(surge, len(text)) if article else plain for text, plain, _, article in rows]
     if declared:
-        main = max(declared, key=lambda k: (declared[k], -k))
-        inside = [i for i, r in enumerate(rows) if r[3] == main]
-        weights = [w if i in set(inside) else 0 for i, w in enumerate(weights)]
+        inside = [i for i, r in enumerate(rows) if r[3]]
+        weights = [w if r[3] else 0 for w, r in zip(weights, rows, strict=True)]
     found = stretches(weights, window, surge) or stretches(weights, window, 1)
     if not found:
         return ""
