@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -302,20 +303,65 @@ def test_extract_text(spark):
 
 
 def test_decontamination(spark):
-    items = [(i, prose(1000 + i, 30)) for i in range(12)] + [(50, None), (51, "too short")]
+    items = [(i, prose(1000 + i, 30)) for i in range(12)] + [(50, None), (51, "too short"), (52, "!"), (53, "Tiny phrase.")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     words = items[3][1].split()
     changed = " ".join(w if i % 6 else "other" for i, w in enumerate(words))
-    texts = [(i, prose(i, 150)) for i in range(30)] + [(100, prose(100, 40) + " " + items[0][1].upper() + " " + prose(101, 40)), (101, prose(102, 77) + " " + changed), (102, items[5][1]), (103, None), (104, "")]
+    texts = [(i, prose(i, 150)) for i in range(30)] + [(100, prose(100, 40) + " " + items[0][1].upper() + " " + prose(101, 40)), (101, prose(102, 77) + " " + changed), (102, items[5][1]), (103, None), (104, ""), (105, prose(103, 30) + " a tiny, phrase " + prose(104, 30)), (106, "tiny " + prose(105, 30) + " phrase"), (None, prose(106, 30) + " " + items[7][1]), (107, prose(107, 15_000) + " " + items[8][1]), (107, prose(107, 15_000) + " " + items[8][1])]
     docs = spark.createDataFrame([(i, t, "k") for i, t in texts], "doc_id long, text string, key string")
     got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench).collect()}
-    assert got == {(100, 0), (101, 3), (102, 5)}
+    assert got == {(100, 0), (101, 3), (102, 5), (105, 53), (None, 7), (107, 8)}
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench, group_words=70).collect()} == got  # in seven groups
     left = decontamination.drop_leaks(docs, bench)
-    assert left.columns == docs.columns and left.count() == 32
+    assert left.columns == docs.columns and left.count() == len(texts) - 7
     assert decontamination.find_leaks(docs, bench.limit(0)).count() == 0
     assert decontamination.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def exhaustive_leaks(texts, items):
+    """All pairs whose longest common subsequences suffice, in windows at every sixth of an item: no candidate search."""
+    number = {w: i for i, w in enumerate(sorted({w for x in (*texts.values(), *items.values()) for w in x}))}
+    texts, items = ({k: np.array([number[w] for w in ws]) for k, ws in x.items()} for x in (texts, items))
+    return {(d, i) for d, t in texts.items() for i, item in items.items() if np.isin(item, t).mean() >= decontamination.LIKELY and decontamination.is_leak(*decontamination.best_match(item.tolist(), np.arange(len(t)), t, 0, len(t))[:2])}
+
+
+@pytest.mark.parametrize("n_items", [60, 300])
+def test_candidate_search_against_exhaustive_subsequences(spark, n_items):
+    """Paraphrases that keep 55 to 100 % of an item's words; with 300 items the latent space is smaller than the benchmark."""
+    rng = random.Random(n_items)
+    text = lambda n: [f"w{int(4000 * rng.random() ** 3)}" for _ in range(n)]
+    items = {i: text(rng.randint(15, 60)) for i in range(n_items)}
+    texts = {i: text(120) for i in range(100)}
+    for i, item in items.items():
+        kept = rng.uniform(0.55, 1.0)
+        texts[1000 + i] = text(rng.randint(5, 80)) + [w if rng.random() < kept else "other" for w in item] + text(rng.randint(5, 80))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    want = exhaustive_leaks(texts, items)
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert len(want) > n_items // 2 and got <= want | {(1000 + i, i) for i in items} and len(got & want) >= 0.97 * len(want)
+
+
+def test_basis_holds_the_leading_singular_vectors(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 30, 40)) for _ in range(50)]
+    items = [[f"w{w}" for w in rng.integers(0, 30, 40)] for _ in range(4)]
+    terms = decontamination.Terms(items)
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, key long, text string")
+    read = decontamination.read_terms(rows, spark.sparkContext.broadcast(terms)).cache()
+    numbers = [terms.of(ws) for ws in items]
+    weights = decontamination.Weights(numbers, *decontamination.document_frequency(read, terms.size))
+    counts = lambda ws: np.bincount([n for n in terms.of(ws) if n >= 0], minlength=terms.size) * weights.idf
+    blocks = [[t.split()[k : k + decontamination.BLOCK] for k in (0, 20)] for t in texts]
+    a = np.array([counts(x) for one, two in blocks for x in (one + two, two)])
+    a = a[np.sqrt((a**2).sum(1)) >= 0.4 * weights.lengths(numbers).min()]
+    b = np.array([counts(ws) for ws in items])
+    want = np.linalg.svd(np.vstack([a / np.sqrt(len(a)), b * np.sqrt(decontamination.EMPHASIS / len(b))]))[2]
+    got = decontamination.latent_basis(read, numbers, weights) / np.maximum(weights.idf, 1e-6)[:, None]
+    read.unpersist()
+    assert np.abs(np.abs(np.diag(want @ got)[:8]) - 1).max() < 1e-3
+
+
 def test_long_items_are_found(spark):
     def text(seed, n):
         rng = random.Random(seed)
@@ -328,7 +374,7 @@ def test_long_items_are_found(spark):
         texts[200 + i] = text(500 + i, 20 + 3 * i) + [w if k % 6 else "other" for k, w in enumerate(item)] + text(600 + i, 50)
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
-    want = {(d, i) for d, t in texts.items() for i, item in items.items() if decontamination.is_leak(*decontamination.best_match(item, t)[:2])}
+    want = exhaustive_leaks(texts, items)
     assert {(100 + i, i) for i in items} | {(200 + i, i) for i in items} <= want
     assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench).collect()} == want
 
@@ -388,15 +434,36 @@ def test_toxicity_keeps_the_base_rate(spark, monkeypatch):
         assert abs(np.mean([r.score for r in got if order[r.doc_id] < 2]) - 0.25) < 0.12
 
 
-def test_segments_equal_brute_force():
-    rng = random.Random(6)
-    for _ in range(200):
-        dense = [rng.choice([0, 0, 1.0, 2.0, 0.4]) for _ in range(14)]
-        got = toxicity.segments([(i, s) for i, s in enumerate(dense) if s], 0.5)
-        x = [s if s else -0.5 for s in dense]
-        best = max((sum(x[a : b + 1]) for a in range(14) for b in range(a, 14)), default=0)
-        assert max((s for *_, s in got), default=best) == pytest.approx(best) or not got
-        assert all(a[1] < b[0] for a, b in zip(got, got[1:], strict=False))
+def maximal_segments(x):
+    """By definition: the best stretch, then those of what is left and right of it."""
+    best = max(((sum(x[a : b + 1]), -a, -b) for a in range(len(x)) for b in range(a, len(x))), default=(0, 0, 0), key=lambda v: (round(v[0], 9), v[1], v[2]))
+    if best[0] < 1e-9:
+        return []
+    a, b = -best[1], -best[2]
+    return [*maximal_segments(x[:a]), (a, b, best[0]), *((b + 1 + p, b + 1 + q, s) for p, q, s in maximal_segments(x[b + 1 :]))]
+
+
+def test_all_segments_equal_brute_force():
+    rng, some = random.Random(6), 0
+    for _ in range(600):
+        dense = [rng.choice([0, 0, 1.0, 2.0, 0.37]) for _ in range(rng.randint(0, 14))]
+        got = toxicity.segments([(i, s) for i, s in enumerate(dense) if s], 0.53)
+        want = maximal_segments([s if s else -0.53 for s in dense])
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+        assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
+        some += len(got) > 1
+    assert some > 150
+
+
+@pytest.mark.parametrize("drift", [0.05, 0.4, 0.9, 1.1, 3.0])
+def test_segments_take_linear_time(drift):
+    def steps(n):
+        start = time.process_time()
+        toxicity.segments([(int(1.7 * i) + i * i // (4 * n), 1.0 + (i % 3)) for i in range(n)], drift)
+        return time.process_time() - start
+
+    steps(1000)
+    assert steps(160_000) < 40 * max(steps(16_000), 0.005)
 
 
 def test_isotonic():

@@ -1,26 +1,31 @@
 """Benchmark decontamination: latent semantic retrieval, then longest-common-subsequence and answer checks.
 
 Documents are read once into the places and numbers of the terms that the benchmark knows.  Terms are weighted by
-their inverse document frequency over all documents.  A passage is two neighbouring blocks of `BLOCK` words.  A
-distributed randomised SVD of the TF-IDF passages that could match an item, of all documents, and of the benchmark (whose rows weigh
-`EMPHASIS` times as much as all others together) gives `RANK` latent directions at most: partitions sum A'(A Q) for a
-random Q, a sum whose size depends on the vocabulary alone, and its orthonormal basis spans the directions.  Every passage is compared with
+their inverse document frequency over all documents.  A passage is two neighbouring blocks of `BLOCK` words.  The
+matrix A has the TF-IDF passages of all documents that could match an item, and the benchmark's own, whose rows weigh
+`EMPHASIS` times as much as all others together.  A distributed randomised SVD gives its leading `RANK` right singular
+vectors: partitions sum A'(A Q), a sum whose size depends on the benchmark's terms alone, once for a random Q and once for the
+orthonormal basis of that, and the small matrix (A Q)'(A Q) of the second is decomposed.  Every passage is compared with
 every item by cosine in blocks; a passage of cosine `LEAST_COSINE` or more is a candidate for the item.  Items longer than a
 passage are searched for as a whole and by overlapping pieces of a passage's length.
 
 A candidate is verified on the words around it: of windows a little longer than the item, the best longest
 common subsequence must hold `SURE` of the item's words, or `LIKELY` of them if it also holds `ANSWER` of the
-item's last quarter, where answers stand.
+item's last quarter, where answers stand.  Only the item's own words can be common, so their places are all that is needed.
+Items of fewer than `LEAST_WORDS` words have no paraphrase to speak of and are found where they stand word for word.
 
-Defined results: null texts are empty and match nothing; items under `LEAST_WORDS` words are not searched for; a
-document given twice is found once an item; tables without rows give none; further columns are ignored.
-The benchmark is a stated query set: it must fit the driver, `MOST_ITEMS` items at most, and is checked.
+The benchmark is a stated query set.  It is taken in groups of about `GROUP_WORDS` words, each with terms, an SVD and a search of
+its own, so that what the driver holds and broadcasts is bounded for any number of items.
+
+Defined results: null texts are empty and match nothing; items without words are not searched for; a document given twice is
+found once an item; equal items are each found; tables without rows give none; rows without an id count; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -31,14 +36,14 @@ from .calibration import summed
 from .common import materialize, narrowed, row_key, whole_text, without
 
 BLOCK, RANK, EMPHASIS, SEED = 20, 128, 30.0, 20_240_503
-#: Numbers in the matrices that are summed: with more terms there are fewer directions, 32 at least.
-SUM_SIZE, SUM_PARTITIONS = 1 << 23, 64
+SUM_PARTITIONS = 64
 #: Inverse document frequency of terms that always count.
 RARE = 4.0
 LEAST_COSINE, SURE, LIKELY, ANSWER, LEAST_WORDS = 0.4, 0.75, 0.55, 0.75, 5
 #: A window's length as a multiple of the item's.
 STRETCH = 1.35
-MOST_ITEMS, MOST_TERMS = 200_000, 1 << 17
+#: Words of the items that are searched for at once; an item is never cut.
+GROUP_WORDS = 200_000
 WORD = re.compile(r"\w+")
 FOUND = "doc_id long, item_id long, lcs double, answer double, cosine double, first_word long, last_word long, key long"
 
@@ -48,17 +53,16 @@ def words(text: str) -> list[str]:
 
 
 class Terms:
-    """Numbers of the benchmark's terms; hashed once there are more than MOST_TERMS."""
+    """Numbers of the items' terms."""
 
     def __init__(self, items: list[list[str]]) -> None:
         names = sorted({w for item in items for w in item})
-        self.size = min(len(names), MOST_TERMS)
-        self.number = {w: i if len(names) <= MOST_TERMS else zlib.crc32(w.encode()) % MOST_TERMS for i, w in enumerate(names)}
+        self.size = len(names)
+        self.number = {w: i for i, w in enumerate(names)}
 
     def of(self, ws: list[str]) -> np.ndarray:
         """For every word its number, or -1."""
-        get = self.number.get
-        return np.fromiter((get(w, -1) for w in ws), dtype=np.int32, count=len(ws))
+        return np.fromiter(map(self.number.get, ws, repeat(-1)), dtype=np.int32, count=len(ws))
 
 
 def queries_of(items: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -85,17 +89,25 @@ def lcs_length(item: list, ws: list) -> int:
     return len(item) - v.bit_count()
 
 
-def best_match(item: list[str], ws: list[str]) -> tuple[float, float, int, int]:
-    """Share of the item and of its last quarter in the best window of `ws`, and that window."""
+def best_match(item: list, places: np.ndarray, ws: np.ndarray, low: int, high: int) -> tuple[float, float, int, int]:
+    """Share of the item and of its last quarter in the best window of the words [low, high), and that window.
+
+    `places` and `ws` have the words of the document that the item could share; windows count all its words.
+    """
     size = max(len(item) + 2, int(STRETCH * len(item)))
     step = max(1, len(item) // 6)
     tail = item[-max(2, len(item) // 4) :]
-    best = (0.0, 0.0, 0, 0)
-    for low in range(0, max(1, len(ws) - size + step), step):
-        window = ws[low : low + size]
+    best = (0.0, 0.0, low, low)
+    high = min(high, int(places[-1]) + 1) if len(places) else low
+    starts = np.arange(low, max(low + 1, high - size + step), step)
+    first, last = np.searchsorted(places, starts), np.searchsorted(places, np.minimum(starts + size, high))
+    for start, a, b in zip(starts.tolist(), first.tolist(), last.tolist(), strict=True):
+        if b - a <= best[0] * len(item):
+            continue  # too few shared words to be better
+        window = ws[a:b].tolist()
         got = lcs_length(item, window) / len(item)
         if got > best[0]:
-            best = (got, lcs_length(tail, window) / len(tail), low, min(len(ws), low + size))
+            best = (got, lcs_length(tail, window) / len(tail), start, min(high, start + size))
     return best
 
 
@@ -104,7 +116,7 @@ def is_leak(lcs: float, answer: float) -> bool:
 
 
 def read_terms(docs: DataFrame, terms) -> DataFrame:
-    """key, places and numbers of the known terms."""
+    """doc_id, key, places and numbers of the known terms."""
 
     def run(batches):
         for batch in batches:
@@ -114,9 +126,9 @@ def read_terms(docs: DataFrame, terms) -> DataFrame:
                 at = np.flatnonzero(n >= 0).astype(np.int32)
                 place.append(at)
                 number.append(n[at])
-            yield pd.DataFrame({"key": batch.key, "place": place, "number": number})
+            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "key": batch.key, "place": place, "number": number})
 
-    return docs.select("key", "text").mapInPandas(run, "key long, place array<int>, number array<int>")
+    return docs.mapInPandas(run, "doc_id long, key long, place array<int>, number array<int>")
 
 
 def document_frequency(read: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -171,7 +183,9 @@ def blocks_of(batch: pd.DataFrame, square: np.ndarray, least: float):
     block = np.repeat(first[:-1], sizes) + place // BLOCK
     own = np.bincount(block, weights=square[number], minlength=int(first[-1]) + 1)
     length = np.sqrt(own[:-1] + own[1:])
-    at = np.flatnonzero(length >= least)
+    long = length >= least
+    long[first[1:] - 1] = False  # between documents
+    at = np.flatnonzero(long)
     if not len(at):
         return None
     wanted = np.zeros(len(own), dtype=bool)
@@ -227,7 +241,7 @@ TERM_BLOCK = 4096
 
 
 def gram_times(read: DataFrame, shape: tuple[int, int], shared) -> tuple[np.ndarray, float]:
-    """The sum of A'Y over all passages, for Y = A basis with rows of unit length, and the number of passages."""
+    """The sum of A'(A basis) over all passages, and the number of passages; the basis has the weights in it, the sum lacks them."""
     size, rank = shape
     pieces = -(-size // TERM_BLOCK)
 
@@ -238,7 +252,7 @@ def gram_times(read: DataFrame, shape: tuple[int, int], shared) -> tuple[np.ndar
             if (got := blocks_of(batch, square, least)) is None:
                 continue
             block, number, _, at = got
-            y = unit(passages(block, number, at, w))
+            y = passages(block, number, at, w)
             n += len(at)
             # a token of block i stands in the passages i - 1 and i
             both = np.vstack([y, np.zeros((1, rank), dtype=y.dtype)])
@@ -254,105 +268,157 @@ def gram_times(read: DataFrame, shape: tuple[int, int], shared) -> tuple[np.ndar
 
 
 def latent_basis(read: DataFrame, items: list[np.ndarray], weights: Weights) -> np.ndarray:
-    """Terms by latent directions, weights included: sum the rows of a passage's tokens to project it."""
+    """Terms by right singular vectors, weights included: sum the rows of a passage's tokens to project it."""
     sc, idf, least = read.sparkSession.sparkContext, weights.idf, LEAST_COSINE * weights.lengths(items).min()
-    rank = min(len(idf), max(32, min(RANK, SUM_SIZE // len(idf))))
-
-    def benchmark(w: np.ndarray) -> np.ndarray:
-        y = unit(np.stack([w[x].sum(0) for x in items]).astype(np.float64))
-        z = np.zeros(w.shape)
-        for x, row in zip(items, y, strict=True):
-            np.add.at(z, x, row)
-        return z / len(items)
+    rank = min(len(idf), RANK)
+
+    def product(q: np.ndarray) -> np.ndarray:
+        """A'A q, documents' rows weighed by their number, the benchmark's EMPHASIS times as much together."""
+        w = (q * idf[:, None]).astype(np.float32)
+        shared = sc.broadcast((w, weights.square, least))  # RANK numbers for each of the group's terms
+        z, n = gram_times(read, w.shape, shared)
+        shared.unpersist()
+        own = np.zeros(w.shape)
+        for x in items:
+            np.add.at(own, x, w[x].sum(0, dtype=np.float64))
+        return (z / max(1.0, n) + EMPHASIS / len(items) * own) * idf[:, None]
 
-    w = (np.random.default_rng(SEED).standard_normal((len(idf), rank)) * idf[:, None]).astype(np.float32)
-    shared = sc.broadcast((w, weights.square, least))  # SUM_SIZE numbers at most
-    z, n = gram_times(read, w.shape, shared)
-    shared.unpersist()
-    q = np.linalg.qr((z / max(1.0, n) + EMPHASIS * benchmark(w)) * idf[:, None])[0]
-    return (q * idf[:, None]).astype(np.float32)
+    q = np.linalg.qr(product(np.random.default_rng(SEED).standard_normal((len(idf), rank))))[0]
+    small = q.T @ product(q)  # (A q)'(A q)
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    leading = values > 1e-9 * max(values[-1], 1e-30)
+    return ((q @ vectors[:, leading][:, ::-1]) * idf[:, None]).astype(np.float32)
 
 
-def candidates(read: DataFrame, basis: np.ndarray, queries: list[np.ndarray], of: np.ndarray, weights: Weights) -> DataFrame:
-    """key, item, block, cosine of all passages near an item or a piece of it.
+def near_blocks(batch: pd.DataFrame, square: np.ndarray, least: float, w: np.ndarray, goal: np.ndarray, length: np.ndarray):
+    """Row of the batch, query, block and cosine of all passages near a query.
 
-    The cosine has the item's length for passages that are shorter, so that one rare term is not much alike.
+    The cosine has the query's length for passages that are shorter, so that one rare term is not much alike.
     """
-    projected = np.stack([basis[x].sum(0) for x in queries])
-    length = np.sqrt((projected**2).sum(1)).clip(1e-3)
-    shared = read.sparkSession.sparkContext.broadcast((basis, weights.square, projected / (length**2)[:, None], length, LEAST_COSINE * weights.lengths(queries).min()))
+    if not len(goal) or (got := blocks_of(batch, square, least)) is None:
+        return
+    block, number, first, at = got
+    for low in range(0, len(at), 20_000):
+        some = at[low : low + 20_000]
+        y = passages(block, number, some, w)
+        own = np.sqrt((y * y).sum(1))
+        for start in range(0, len(goal), 2_000):
+            cosine = y @ goal[start : start + 2_000].T
+            a, b = np.nonzero(cosine >= LEAST_COSINE)
+            value = cosine[a, b] / np.maximum(1.0, own[a] / length[start + b])
+            near = value >= LEAST_COSINE
+            where = some[a[near]]
+            row = np.searchsorted(first, where, side="right") - 1
+            yield row, b[near] + start, where - first[row], np.minimum(value[near], 1.0)
+
+
+def stretches_of(blocks: list[int], size: int) -> list[tuple[int, int]]:
+    """Words around the passages that begin at the blocks, a whole item on both sides; neighbours are joined."""
+    out: list[list[int]] = []
+    for block in blocks:
+        low, high = max(0, block * BLOCK - size), (block + 2) * BLOCK + size
+        if out and low <= out[-1][1]:
+            out[-1][1] = high
+        else:
+            out.append([low, high])
+    return [(a, b) for a, b in out]
+
+
+class Phrases:
+    """Short items, looked up word for word."""
+
+    def __init__(self, items: list[np.ndarray], which: list[int]) -> None:
+        self.by_size: dict[int, dict[tuple, list[int]]] = {}
+        for i in which:
+            self.by_size.setdefault(len(items[i]), {}).setdefault(tuple(items[i].tolist()), []).append(i)
+        self.first = {n: np.array(sorted({p[0] for p in found}), dtype=np.int32) for n, found in self.by_size.items()}
+
+    def within(self, place: np.ndarray, number: np.ndarray):
+        """Item and place of all of them that stand in a document."""
+        for n, found in self.by_size.items():
+            if len(place) < n:
+                continue
+            run = place[n - 1 :] - place[: len(place) - n + 1] == n - 1
+            for at in np.flatnonzero(run & np.isin(number[: len(run)], self.first[n])).tolist():
+                for item in found.get(tuple(number[at : at + n].tolist()), ()):
+                    yield item, int(place[at])
+
+
+def search(read: DataFrame, basis: np.ndarray, listed: list[tuple], items: list[np.ndarray], queries: list[np.ndarray], of: np.ndarray, weights: Weights) -> DataFrame:
+    """The documents and items that belong together, verified: FOUND."""
+    if len(queries):
+        projected = np.stack([basis[x].sum(0) for x in queries])
+        length = np.sqrt((projected**2).sum(1)).clip(1e-3)
+        goal, least = projected / (length**2)[:, None], LEAST_COSINE * weights.lengths(queries).min()
+    else:
+        goal, length, least = np.zeros((0, 1), dtype=np.float32), np.zeros(0), 1.0
+    ids = [item_id for item_id, _ in listed]
+    short = Phrases(items, [i for i, x in enumerate(items) if len(x) < LEAST_WORDS])
+    shared = read.sparkSession.sparkContext.broadcast((basis, weights.square, goal, length, least, of, ids, items, short))
 
     def run(batches):
-        w, square, goal, length, least = shared.value
+        w, square, goal, length, least, of, ids, items, short = shared.value
         for batch in batches:
-            if (got := blocks_of(batch, square, least)) is None:
-                continue
-            block, number, first, at = got
-            y, hits = passages(block, number, at, w), []
-            own = np.sqrt((y * y).sum(1))
-            for low in range(0, len(at), 20_000):
-                for start in range(0, len(goal), 2_000):
-                    cosine = y[low : low + 20_000] @ goal[start : start + 2_000].T
-                    a, b = np.nonzero(cosine >= LEAST_COSINE)
-                    value = cosine[a, b] / np.maximum(1.0, own[low + a] / length[start + b])
-                    near = value >= LEAST_COSINE
-                    hits.append((at[low + a][near], (b + start)[near], np.minimum(value[near], 1.0)))
-            if hits:
-                where, item, cosine = (np.concatenate(x) for x in zip(*hits, strict=True))
-                doc = np.maximum(np.searchsorted(first, where, side="right") - 1, 0)
-                yield pd.DataFrame({"key": batch.key.to_numpy()[doc], "item": of[item], "block": (where - first[doc]).astype(np.int32), "cosine": cosine.astype(float)})
-
-    return read.mapInPandas(run, "key long, item int, block int, cosine double")
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row for every document and benchmark item in it: doc_id, item_id, lcs, answer, cosine, first_word, last_word, key."""
-    spark = docs.sparkSession
-    known = narrowed(benchmark, [item_col, item_text_col]).select(F.col(f"`{item_col}`").cast("long").alias("item_id"), whole_text(item_text_col).alias("text")).limit(MOST_ITEMS + 1).collect()
-    if len(known) > MOST_ITEMS:
-        raise ValueError(f"the benchmark has more than {MOST_ITEMS} items; search for it in parts")
-    listed = sorted(((r.item_id, ws) for r in known if len(ws := words(r.text)) >= LEAST_WORDS), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-    if not listed:
-        return spark.createDataFrame([], FOUND)
-    rows = narrowed(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
+            near: dict[tuple[int, int], list[tuple[int, float]]] = {}
+            for row, query, block, cosine in near_blocks(batch, square, least, w, goal, length):
+                for r, i, k, c in zip(row.tolist(), of[query].tolist(), block.tolist(), cosine.tolist(), strict=True):
+                    near.setdefault((r, i), []).append((k, c))
+            out, docs, keys = [], batch.doc_id.to_numpy(), batch.key.to_numpy()
+            for (r, i), found in near.items():
+                item, place, number = items[i], batch.place[r], batch.number[r]
+                own = np.isin(number, item)
+                best = (0.0, 0.0, 0, 0)
+                for low, high in stretches_of(sorted({k for k, _ in found}), len(item)):
+                    got = best_match(item.tolist(), place[own], number[own], low, high)
+                    if got[:2] > best[:2]:
+                        best = got
+                if is_leak(best[0], best[1]):
+                    out.append((docs[r], ids[i], best[0], best[1], max(c for _, c in found), best[2], best[3], keys[r]))
+            if short.by_size:
+                for r, (place, number) in enumerate(zip(batch.place, batch.number, strict=True)):
+                    for i, at in dict(short.within(place, number)).items():
+                        out.append((docs[r], ids[i], 1.0, 1.0, 1.0, at, at + len(items[i]), keys[r]))
+            if out:
+                frame = pd.DataFrame(out, columns=["doc_id", "item_id", "lcs", "answer", "cosine", "first_word", "last_word", "key"])
+                yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
+
+    return read.mapInPandas(run, FOUND)
+
+
+def find_group(rows: DataFrame, listed: list[tuple]) -> DataFrame:
+    """FOUND for some items, as (id, words)."""
+    spark = rows.sparkSession
     terms = Terms([ws for _, ws in listed])
     read = materialize(read_terms(rows, spark.sparkContext.broadcast(terms)), "terms")
-    frequency, n = document_frequency(read, terms.size)
     items = [terms.of(ws) for _, ws in listed]
-    queries, of = queries_of(items)
+    long = [i for i, x in enumerate(items) if len(x) >= LEAST_WORDS]
+    queries, of = queries_of([items[i] for i in long])
+    of = np.array(long, dtype=np.int32)[of] if long else of
+    frequency, n = document_frequency(read, terms.size) if long else (np.zeros(terms.size), 0)
     weights = Weights(queries, frequency, n)
-    basis = latent_basis(read, queries, weights)
-    near = candidates(read, basis, queries, of, weights).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("item", "block", "cosine"))).alias("near"))
-    shared = spark.sparkContext.broadcast(listed)
+    basis = latent_basis(read, queries, weights) if long else np.zeros((terms.size, 1), dtype=np.float32)
+    return search(read, basis, listed, items, queries, of, weights)
 
-    def verify(batches):
-        for batch in batches:
-            out = []
-            for doc, key, text, hits in zip(batch.doc_id, batch.key, batch.text, batch.near, strict=True):
-                ws, by_item = words(text), {}
-                for h in hits:
-                    by_item.setdefault(h["item"], []).append((h["block"], h["cosine"]))
-                for item, found in by_item.items():
-                    item_id, want = shared.value[item]
-                    best, low, high = (0.0, 0.0, 0, 0), None, 0
-                    for block, _ in [*found, (1 << 60, 0)]:  # neighbouring passages are verified together
-                        start = block * BLOCK - len(want)
-                        if low is not None and start > high:
-                            low = max(0, low)
-                            got = best_match(want, ws[low:high])
-                            if got[:2] > best[:2]:
-                                best = (*got[:2], low + got[2], low + got[3])
-                            low = None
-                        if low is None:
-                            low = start
-                        high = (block + 2) * BLOCK + len(want)
-                    if is_leak(best[0], best[1]):
-                        out.append((doc, item_id, best[0], best[1], max(c for _, c in found), best[2], best[3], key))
-            if out:
-                frame = pd.DataFrame(out, columns=["doc_id", "item_id", "lcs", "answer", "cosine", "first_word", "last_word", "key"])
-                yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
 
-    return rows.join(near, "key").select("doc_id", "key", "text", "near").mapInPandas(verify, FOUND).dropDuplicates(["key", "item_id"])
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", group_words: int = GROUP_WORDS) -> DataFrame:
+    """A row for every document and benchmark item in it: doc_id, item_id, lcs, answer, cosine, first_word, last_word, key."""
+    spark = docs.sparkSession
+    known = narrowed(benchmark, [item_col, item_text_col]).select(F.col(f"`{item_col}`").cast("long").alias("item_id"), whole_text(item_text_col).alias("text"))
+    size = known.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    groups = max(1, -(-int(size) // group_words))
+    known = known.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)).cast("int"))
+    rows = narrowed(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
+    found = []
+    for part in range(groups):
+        listed = sorted(((r.item_id, ws) for r in known.filter(F.col("part") == part).collect() if (ws := words(r.text))), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        if listed:
+            found.append(find_group(rows, listed))
+    if not found:
+        return spark.createDataFrame([], FOUND)
+    # rows given twice, and items that share an id, have one row, the one that matches best
+    names = ["lcs", "answer", "cosine", "first_word", "last_word"]
+    best = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id", "key").agg(F.max(F.struct(*names)).alias("best"))
+    return best.select("doc_id", "item_id", *[f"best.{n}" for n in names], "key")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

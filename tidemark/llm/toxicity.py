@@ -8,7 +8,8 @@ extreme-value law: with lambda from E[exp(lambda s)] = 1 over clean tokens and K
 of score S among n tokens has E = K n exp(-lambda S).  A document's value is log(1/P) of its best r distinct segments
 together, P by the sum statistic of the same law, for the r that makes it largest: passages that are repeated word
 for word count once.  Isotonic regression turns it into a probability.  The training rows are dealt into `FOLDS`
-folds, and lambda, K and the probabilities come from rows scored by log-odds of the other folds.
+folds, and lambda, K and the probabilities come from rows scored by log-odds of the other folds; other documents are
+scored by the mean of the folds' log-odds.
 
 The training rows are bounded: of either class `MOST_TRAIN` rows at most, by hash of the id.  A training row weighs as
 many labelled rows of its class as it stands for, in the prior and in the calibration, so that the bound leaves the
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .calibration import fit_isotonic
 from .common import fold_column, materialize, narrowed, whole_text
 
-MOST_TRAIN, LEAST_TOXIC, FOLDS = 20_000, 3, 3
+MOST_TRAIN, LEAST_TOXIC, FOLDS = 20_000, 3, 5
 #: Entries of a task's counts before they are passed on.
 HELD = 400_000
 PRIOR, PRIOR_SHARE, BOUND, DRIFT, EVALUE = 300.0, 0.1, 2.5, 0.08, 0.1
@@ -184,18 +185,19 @@ def count_units(rows: DataFrame) -> DataFrame:
 
 
 def fit_scores(train: DataFrame) -> list[dict[str, float]]:
-    """Token units with their log-odds, from rows (text, y, weight, fold): learnt without each of the folds, and last from all."""
+    """Token units with their log-odds, from rows (text, y, weight, fold): learnt without each of the folds, and last the mean of these,
+    which lies where they lie, so that what is calibrated on them holds for it."""
     sizes = {(r.y, r.fold): (r.n, r.weight) for r in train.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight")).collect()}
     weigh = tuple(max((w for (y, _), (_, w) in sizes.items() if y == want), default=1.0) for want in (0, 1))
     odds = []
-    for without in [*range(FOLDS), None]:
+    for without in range(FOLDS):
         kept = [f for f in range(FOLDS) if f != without]
         clean, toxic = (sum((F.col(f"n{2 * f + y}") for f in kept), F.lit(0.0)) for y in (0, 1))
         n_clean, n_toxic = (float(sum(sizes.get((y, f), (0, 1))[0] for f in kept)) for y in (0, 1))
         odds.append(log_odds(toxic, clean, n_toxic, n_clean, weigh=weigh).alias(f"s{len(odds)}"))
     toxic = sum(F.col(f"n{2 * f + 1}") for f in range(FOLDS))
-    found = count_units(train).filter(toxic >= LEAST_TOXIC).select("unit", *odds).filter(F.greatest(*[f"s{i}" for i in range(FOLDS + 1)]) > 0).collect()
-    return [{r.unit: r[f"s{i}"] for r in found if r[f"s{i}"] > 0} for i in range(FOLDS + 1)]
+    found = count_units(train).filter(toxic >= LEAST_TOXIC).select("unit", *odds).filter(F.greatest(*[f"s{i}" for i in range(FOLDS)]) > 0).collect()
+    return [*({r.unit: r[f"s{i}"] for r in found if r[f"s{i}"] > 0} for i in range(FOLDS)), {r.unit: round(sum(r[1:]) / FOLDS, 3) for r in found}]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, mod: int, held: int) -> DataFrame:
