@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, narrowed, partitions, row_key, whole_text, without
-from .components import connected_components
+from .components import connected_components, with_group_value
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 32, 4, 16, 1e-7
@@ -299,15 +299,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = materialize(sets, "sets")
     reps = signed.select(F.col("key").alias("rep"), "bands", "sig").join(sets.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
     near = connected_components(candidate_links(reps))
-    near = near.join(near.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").join(sets.select(F.col("rep").alias("node"), "copies"), "node")
+    near = with_group_value(near, "root", "node", "size", F.count(F.lit(1)), F.sum("size")).join(sets.select(F.col("rep").alias("node"), "copies"), "node")
     texts = rows.select(F.col("key").alias("node"), "text").join(near, "node").dropDuplicates(["node"])
     found = materialize(verified_links(texts.select(F.col("node").alias("rep"), "copies", "text", "root", "size")), "verified")
     classes = connected_components(found.filter("b IS NOT NULL").select("a", "b"))
     degrees = found.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     known = sets.join(degrees, "rep", "left").join(classes.select(F.col("node").alias("rep"), "root"), "rep", "left").filter("copies > 1 OR links IS NOT NULL")
     known = known.withColumn("root", F.coalesce("root", "rep"))
-    least = known.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    known = known.join(least, "root").select("n", "s1", "s2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = with_group_value(known, "root", "rep", "class_id", F.min("least_id"), F.min("class_id")).select("n", "s1", "s2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     salted = signed.select("key", "doc_id", "n", "s1", "s2", F.pmod("key", F.lit(SALTS).cast("long")).alias("salt"))
     joined = salted.join(known, ["n", "s1", "s2", "salt"], "left")
