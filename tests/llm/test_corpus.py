@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import time
 
@@ -80,6 +81,75 @@ def test_repeats(spark, length):
     assert repeats.remove_repeats(empty(spark)).count() == 0
 
 
+def starts_by_sorting(data, length):
+    """Starts of the strings that occur twice, from a full suffix array by doubled ranks: another way, with no hash in it."""
+    joined, ends = [], []
+    for b in data:
+        joined += [*b, -1]
+        ends.append(len(joined))
+    rank = np.unique(np.array(joined), return_inverse=True)[1].astype(np.int64)
+    n, done, result, offset = len(rank), 1, None, 0
+    powers = [1 << k for k in range(length.bit_length()) if length >> k & 1]
+    of = {1: rank}
+    while done * 2 <= length:
+        second = np.full(n, -1, dtype=np.int64)
+        second[:-done] = rank[done:]
+        rank = np.unique(np.stack([rank, second]), axis=1, return_inverse=True)[1].ravel()
+        done *= 2
+        of[done] = rank
+    for size in sorted(powers, reverse=True):  # ranks of strings of any length from those of powers of two
+        part = np.full(n, -1, dtype=np.int64)
+        part[: n - offset] = of[size][offset:]
+        result = part if result is None else np.unique(np.stack([result, part]), axis=1, return_inverse=True)[1].ravel()
+        offset += size
+    count, out, start = np.bincount(result - result.min()), [], 0
+    for b, end in zip(data, ends, strict=True):
+        here = np.arange(start, max(start, start + len(b) - length + 1))
+        out.append((here[count[result[here] - result.min()] > 1] - start).tolist())
+        start = end
+    return out
+
+
+def removed_by(starts, data, length):
+    out = []
+    for b, at in zip(data, starts, strict=True):
+        gone = np.zeros(len(b) + 1, dtype=np.int64)
+        for s in at:
+            gone[s] += 1
+            gone[s + length] -= 1 if s + length <= len(b) else 0
+        gone = np.cumsum(gone[:-1]) > 0 if len(b) else np.zeros(0, dtype=bool)
+        runs = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(b) else 0
+        kept = np.frombuffer(b, dtype=np.uint8)[~gone].tobytes()
+        out.append((len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def test_repeats_of_400_bytes_on_a_whole_table(spark):
+    """The contract's length on every document of a table, against suffix ranks."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    docs = spark.read.parquet(path)
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs).collect())
+    data = [r.text.encode() for r in rows(docs)]
+    assert got == removed_by(starts_by_sorting(data, 400), data, 400) and sum(r[1] for r in got) > 0
+
+
+def test_repeats_in_texts_over_a_stretch(spark):
+    """Repeats across the borders of stretches, over 512 KiB into a text, in the text itself, and in a short one."""
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    one, two, three = letters(450), letters(1200), letters(399 // 2)
+    big = letters(500_000) + one + two + three + letters(40_000) + one + letters(600_000) + two
+    small = letters(300) + two + letters(200) + one[20:] + three + letters(100)
+    docs = spark.createDataFrame([(1, big, "q"), (2, small, "q"), (3, letters(350), "q"), (None, None, "q")], "doc_id long, text string, first string")
+    data = [(r.text or "").encode() for r in docs.collect()]
+    count = collections.Counter(hash(b[s : s + 400]) for b in data for s in range(len(b) - 399))
+    want = [[s for s in range(len(b) - 399) if count[hash(b[s : s + 400])] > 1] for b in data]
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs).collect())
+    assert got == removed_by(want, data, 400) and max(r[2] for r in got) == 3
+
+
 def test_multikey_order():
     rng = np.random.default_rng(0)
     for _ in range(100):
@@ -260,6 +330,101 @@ def test_random_strings_are_not_identifiers(letters, n):
     assert [bool(secret_scan.random_spans(r, encode)) for r in runs] == inefficient and sum(inefficient) > 270
 
 
+ALPHABETS = {
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+}
+
+
+def test_recall_of_planted_random_strings(spark):
+    """Strings of every length and alphabet, planted in prose: nine in ten at least of each kind are found, whole."""
+    rng, planted = random.Random(11), {}
+    for name, letters in ALPHABETS.items():
+        for n in (16, 20, 24, 32, 40, 64):
+            planted |= {(name, n, k): "".join(rng.choice(letters) for _ in range(n)) for k in range(100)}
+    keys = list(planted)
+    docs = spark.createDataFrame([(i, f"{prose(i, 12)} {planted[k]} {prose(i + 1, 12)}") for i, k in enumerate(keys)], "doc_id long, text string")
+    found = collections.Counter()
+    for r in secret_scan.find_secrets(docs).collect():
+        secret = planted[keys[r.doc_id]]
+        text = f"{prose(r.doc_id, 12)} {secret} {prose(r.doc_id + 1, 12)}"
+        low = text.index(secret)
+        spans = [(int(a), int(b)) for _, a, b in (s.split(":") for s in r.spans.split(",") if s)]
+        found[keys[r.doc_id][:2]] += any(a <= low + 2 and b >= low + len(secret) - 2 for a, b in spans)
+    assert min(found[k[:2]] for k in keys) >= 90, found
+
+
+def base_by_hand(text):
+    """The three fixed kinds by a plain reading of their rules, character by character."""
+    spans, digits = [], "0123456789"
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    low = "".join(c.lower() if c.isascii() else "." for c in text)
+    at = 0
+    while at < len(text):
+        end = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word, at):
+                for quoted in (1, 0):
+                    k = at + len(word)
+                    if quoted and text[k : k + 1] not in ("'", '"'):
+                        continue
+                    k += quoted
+                    while text[k : k + 1] == " ":
+                        k += 1
+                    if text[k : k + 1] not in (":", "="):
+                        continue
+                    k += 1
+                    while text[k : k + 1] == " ":
+                        k += 1
+                    if text[k : k + 1] in ("'", '"') and text[k : k + 1]:
+                        k += 1
+                    begin = k
+                    while k < len(text) and low[k] in letters + digits + "+/_=-." and text[k].isascii() and (text[k] == "." or low[k] != "."):
+                        k += 1
+                    if k > begin:
+                        end = (k, k - begin)
+                        break
+                break
+        if end:
+            if end[1] >= 6:
+                spans.append((at, end[0], "assign"))
+            at = end[0]
+        else:
+            at += 1
+    for kind, head, allowed, least in (("access", "AKIA", letters.upper() + digits, 20), ("hex", "", "abcdef" + digits, 24)):
+        at = 0
+        while at < len(text):
+            if text.startswith(head, at):
+                k = at + len(head)
+                while k < len(text) and text[k] in allowed:
+                    k += 1
+                if k > at + len(head):
+                    if k - at >= least:
+                        spans.append((at, k, kind))
+                    at = k
+                    continue
+            at += 1
+    return sorted(spans, key=lambda s: (s[0], secret_scan.KINDS.index(s[2])))
+
+
+def test_base_spans_equal_brute_force():
+    rng = random.Random(13)
+    parts = ["password", "PASSWD", "Secret", "token", "api_key", "apiKey", "é", '"', "'", " ", "  ", ":", "=", "abc", "x.y-z/1", "AKIA", "AKIA" + "Q7" * 8, "AKIA" + "Z" * 15, "0af" * 8, "deadbeef" * 2, "f", "\n", "ſecret", "K", "."]
+    some = collections.Counter()
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        want = base_by_hand(text)
+        assert sorted(secret_scan.base_spans(text), key=lambda s: (s[0], secret_scan.KINDS.index(s[2]))) == want, text
+        some.update(k for *_, k in want)
+    assert min(some[k] for k in secret_scan.KINDS[:3]) > 100
+
+
+def test_secrets_in_long_and_repeated_texts(spark):
+    key = "Zk3vQ9xLr8Tq2WmB7yHc5NdP"
+    docs = spark.createDataFrame([(1, prose(1, 30_000) + f" {key}"), (2, f"x {key}"), (2, f"x {key}"), (None, f"x {key}")], "doc_id long, text string")
+    assert [r.n_random for r in secret_scan.find_secrets(docs).collect()] == [1, 1, 1, 1]
+
+
 def test_names_are_no_secrets():
     with open(secret_scan.VOCABULARY, "rb") as f:
         encode = secret_scan.encoder(f.read()).encode_ordinary
@@ -284,6 +449,12 @@ WRAPPED = {
     f"<article><p>One {LONG}</p></article><article><p>Two</p></article><article class=comment><p>no</p></article>": f"One {LONG}\n\nTwo",
     f"<article><p>{LONG}</p></article><div class=related><article><p>{LONG} {LONG}</p></article></div>": LONG,
     f"<p>{LONG}</p><div class=comments><form><p>{LONG} {LONG}</p></form></div>": LONG,
+    f"<article><p class='share-price'>{LONG}</p><p class=ad>Kept</p><div id=related-work>Too</div><div class='ad-banner'>no</div><p class=byline>By A</p></article>": f"{LONG}\n\nKept\n\nToo\n\nBy A",
+    f"<article><p>{LONG}</p><nav>{'<li>n' * 9}</nav><p>End</p></article><footer>f</footer>": f"{LONG}\n\nEnd",
+    "<article><p>a <math><mi>x</mi></math> b</p><object>o</object><noscript>s</noscript></article>": "a x b\n\nos",
+    "<nav>n</nav><article><p>One</p></article>" + "<div>q</div>" * 9 + "<article><p>Two</p></article><p>after</p>": "One\n\nTwo",
+    f"<p>{LONG}</p>" + "<ul><li><a href=x>link</a></ul>" * 5 + f"<p>{LONG} 2</p><p>End</p>" + "<p><a href=x>link</a></p>" * 5 + "<p>short</p>": f"{LONG}\n\n{LONG} 2\n\nEnd",
+    f"<div class=ad>{LONG} {LONG}</div><p>Short {'text ' * 12}</p>": "Short " + ("text " * 12).strip(),
 }
 
 
@@ -297,9 +468,48 @@ def test_main_text(page):
     assert html_text.main_text(page) == PAGES[page]
 
 
+def test_surge_and_dive_points_decide(monkeypatch):
+    page = f"<nav><ul><li><a href=x>Home</a></ul></nav><article><h1>T</h1><p>{LONG}</p></article><div>tail</div><footer>f</footer>"
+    for p in (page, page.replace("article", "div")):
+        assert html_text.main_text(p) == f"T\n\n{LONG}" + ("" if p is page else "\n\ntail")
+    monkeypatch.setattr(html_text, "stretches", lambda weights, *_: [(0, len(weights))])
+    assert html_text.main_text(page) == f"Home\n\nT\n\n{LONG}\n\ntail\n\nf"
+
+
+def test_stretches_equal_brute_force():
+    """Lines between a window that reaches the surge and the nearest windows of nothing on both sides, from text to text."""
+    rng = random.Random(9)
+    for _ in range(500):
+        w = [rng.choice([0, 0, 0, 1, 5, 20]) for _ in range(rng.randint(0, 25))]
+        sums, want = [sum(w[i : i + 3]) for i in range(len(w))], set()
+        for i, s in enumerate(sums):
+            if s >= 20:
+                low = high = i
+                while low and sums[low - 1]:
+                    low -= 1
+                while high + 1 < len(w) and sums[high + 1]:
+                    high += 1
+                full = [k for k in range(low, high + 1) if w[k]]
+                want |= set(range(full[0], full[-1] + 1))
+        assert {k for a, b in html_text.stretches(w, [False] * len(w), 3, 20) for k in range(a, b)} == want
+
+
+@pytest.mark.parametrize("part", ["<p>word word", "<div>x", "<form><p>x", "<div class=ad>x", "</b><b>x", "<p><a href=x>y</a> z</p>"])
+def test_time_is_linear_in_lines(part):
+    def steps(n):
+        start = time.process_time()
+        html_text.main_text("<b><article>" + part * n)
+        return time.process_time() - start
+
+    assert steps(100_000) < 25 * max(steps(10_000), 0.02)
+
+
 def test_extract_text(spark):
     pages = spark.createDataFrame([(1, "u", None, "q"), (2, None, "<p>é</p>", "q")], "page_id long, url string, html string, text string")
     assert [(r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract_text(pages).collect()] == [(1, "u", "", 0), (2, None, "é", 1)]
+    twice = pages.unionByName(pages).unionByName(spark.createDataFrame([(None, None, "<article>" + "<p>word" * 50_000, "q")], pages.schema))
+    assert sorted(r.n_chars for r in html_text.extract_text(twice).collect()) == [0, 0, 1, 1, 50_000 * 6 - 2]
+    assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
 def test_decontamination(spark):

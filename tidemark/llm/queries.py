@@ -28,7 +28,8 @@ def op3_pieces(spark, sf_dir):
 
 
 def op4_suffix_dedup(spark, sf_dir):
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    # what was removed first: n_bytes, the input's length, says nothing about that
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "n_spans", "n_bytes", "kept_sha256", "spans")
 
 
 def op5_warc(spark, sf_dir):
