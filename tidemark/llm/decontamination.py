@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .calibration import summed
 from .common import materialize, narrowed, row_key, whole_text, without
 
-BLOCK, RANK, EMPHASIS, SEED = 20, 128, 30.0, 20_240_503
+BLOCK, RANK, EMPHASIS, SEED = 20, 96, 30.0, 20_240_503
 SUM_PARTITIONS = 64
 #: Inverse document frequency of terms that always count.
 RARE = 4.0
@@ -116,19 +116,25 @@ def is_leak(lcs: float, answer: float) -> bool:
 
 
 def read_terms(docs: DataFrame, terms) -> DataFrame:
-    """doc_id, key, places and numbers of the known terms."""
+    """doc_id, key, and the known terms as pairs of place and number, 32 bits each."""
 
     def run(batches):
         for batch in batches:
-            place, number = [], []
+            pairs = []
             for text in batch.text:
                 n = terms.value.of(words(text))
-                at = np.flatnonzero(n >= 0).astype(np.int32)
-                place.append(at)
-                number.append(n[at])
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "key": batch.key, "place": place, "number": number})
+                at = np.flatnonzero(n >= 0)
+                pairs.append(np.stack([at, n[at]], axis=1).astype(np.int32).tobytes())
+            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "key": batch.key, "terms": pairs})
 
-    return docs.mapInPandas(run, "doc_id long, key long, place array<int>, number array<int>")
+    return docs.mapInPandas(run, "doc_id long, key long, terms binary")
+
+
+def unpacked(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch: where each document's terms begin, with the end of the last, and all places and numbers."""
+    ends = np.cumsum([len(t) // 8 for t in batch.terms])
+    pairs = np.frombuffer(b"".join(batch.terms), dtype=np.int32).reshape(-1, 2)
+    return np.concatenate([[0], ends]).astype(np.int64), np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
 
 
 def document_frequency(read: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -137,12 +143,13 @@ def document_frequency(read: DataFrame, size: int) -> tuple[np.ndarray, int]:
     def run(batches):
         total = np.zeros(size + 1)
         for batch in batches:
-            for number in batch.number:
-                total[np.unique(number)] += 1
+            starts, _, number = unpacked(batch)
+            doc = np.repeat(np.arange(len(batch)), np.diff(starts))
+            total[:size] += np.bincount(np.unique(doc * size + number) % size, minlength=size)
             total[size] += len(batch)
         yield pd.DataFrame({"key": [0], "value": [total.tobytes()]})
 
-    total = summed(read.select("number").mapInPandas(run, "key int, value binary")).get(0, np.zeros(size + 1))
+    total = summed(read.select("terms").mapInPandas(run, "key int, value binary")).get(0, np.zeros(size + 1))
     return total[:size], int(total[size])
 
 
@@ -167,18 +174,17 @@ class Weights:
         return np.sqrt(np.array([self.square[x].sum() for x in items])).clip(1e-3)
 
 
-def blocks_of(batch: pd.DataFrame, square: np.ndarray, least: float):
-    """Of a batch: block number and term of the tokens that count, the first block of each document, the passages
+def blocks_of(starts: np.ndarray, place: np.ndarray, number: np.ndarray, square: np.ndarray, least: float):
+    """Of an unpacked batch: block number and term of the tokens that count, the first block of each document, the passages
     (passage i is block i and the next one) that are at least `least` long.
 
     Blocks of different documents are never neighbours.  `square` holds the terms' squared weights, 0 for those that don't
     count.  A shorter passage has too little of any item's weight to be near it.
     """
-    sizes = [len(p) for p in batch.place]
-    if not sum(sizes):
+    if not len(place):
         return None
-    place, number = np.concatenate(batch.place.to_list()), np.concatenate(batch.number.to_list())
-    last = np.array([p[-1] // BLOCK if len(p) else -1 for p in batch.place], dtype=np.int64)
+    sizes, last = np.diff(starts), np.full(len(starts) - 1, -1, dtype=np.int64)
+    last[sizes > 0] = place[starts[1:][sizes > 0] - 1] // BLOCK
     first = np.concatenate([[0], np.cumsum(last + 2)])
     block = np.repeat(first[:-1], sizes) + place // BLOCK
     own = np.bincount(block, weights=square[number], minlength=int(first[-1]) + 1)
@@ -249,7 +255,7 @@ def gram_times(read: DataFrame, shape: tuple[int, int], shared) -> tuple[np.ndar
         w, square, least = shared.value
         z, n = np.zeros((size, rank)), 0
         for batch in batches:
-            if (got := blocks_of(batch, square, least)) is None:
+            if (got := blocks_of(*unpacked(batch), square, least)) is None:
                 continue
             block, number, _, at = got
             y = passages(block, number, at, w)
@@ -261,7 +267,7 @@ def gram_times(read: DataFrame, shape: tuple[int, int], shared) -> tuple[np.ndar
             z[number[order][heads]] += sums_by(heads, index_in(at, block)[order], both) + sums_by(heads, index_in(at, block - 1)[order], both)
         yield pd.DataFrame({"key": range(pieces + 1), "value": [*[z[i * TERM_BLOCK : (i + 1) * TERM_BLOCK].tobytes() for i in range(pieces)], np.array([float(n)]).tobytes()]})
 
-    found = summed(read.select("place", "number").coalesce(SUM_PARTITIONS).mapInPandas(run, "key int, value binary"))
+    found = summed(read.select("terms").coalesce(SUM_PARTITIONS).mapInPandas(run, "key int, value binary"))
     if not found:
         return np.zeros((size, rank)), 0.0
     return np.vstack([found[i].reshape(-1, rank) for i in range(pieces)]), float(found[pieces][0])
@@ -290,12 +296,12 @@ def latent_basis(read: DataFrame, items: list[np.ndarray], weights: Weights) ->
     return ((q @ vectors[:, leading][:, ::-1]) * idf[:, None]).astype(np.float32)
 
 
-def near_blocks(batch: pd.DataFrame, square: np.ndarray, least: float, w: np.ndarray, goal: np.ndarray, length: np.ndarray):
-    """Row of the batch, query, block and cosine of all passages near a query.
+def near_blocks(batch: tuple, square: np.ndarray, least: float, w: np.ndarray, goal: np.ndarray, length: np.ndarray):
+    """Of an unpacked batch: row, query, block and cosine of all passages near a query.
 
     The cosine has the query's length for passages that are shorter, so that one rare term is not much alike.
     """
-    if not len(goal) or (got := blocks_of(batch, square, least)) is None:
+    if not len(goal) or (got := blocks_of(*batch, square, least)) is None:
         return
     block, number, first, at = got
     for low in range(0, len(at), 20_000):
@@ -312,6 +318,20 @@ def near_blocks(batch: pd.DataFrame, square: np.ndarray, least: float, w: np.nda
             yield row, b[near] + start, where - first[row], np.minimum(value[near], 1.0)
 
 
+def by_pair(found, of: np.ndarray):
+    """Row, item, blocks in order and largest cosine of every pair of a document and an item in the arrays `found`."""
+    parts = [(row, of[query], block, cosine) for row, query, block, cosine in found if len(row)]
+    if not parts:
+        return
+    row, item, block, cosine = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((block, item, row))
+    row, item, block, cosine = row[order], item[order], block[order], cosine[order]
+    heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])]))
+    most = np.maximum.reduceat(cosine, heads)
+    for k, (a, b) in enumerate(zip(heads.tolist(), [*heads[1:].tolist(), len(row)], strict=True)):
+        yield int(row[a]), int(item[a]), block[a:b].tolist(), float(most[k])
+
+
 def stretches_of(blocks: list[int], size: int) -> list[tuple[int, int]]:
     """Words around the passages that begin at the blocks, a whole item on both sides; neighbours are joined."""
     out: list[list[int]] = []
@@ -358,25 +378,25 @@ def search(read: DataFrame, basis: np.ndarray, listed: list[tuple], items: list[
 
     def run(batches):
         w, square, goal, length, least, of, ids, items, short = shared.value
+        wanted = np.zeros(len(square), dtype=bool)
         for batch in batches:
-            near: dict[tuple[int, int], list[tuple[int, float]]] = {}
-            for row, query, block, cosine in near_blocks(batch, square, least, w, goal, length):
-                for r, i, k, c in zip(row.tolist(), of[query].tolist(), block.tolist(), cosine.tolist(), strict=True):
-                    near.setdefault((r, i), []).append((k, c))
-            out, docs, keys = [], batch.doc_id.to_numpy(), batch.key.to_numpy()
-            for (r, i), found in near.items():
-                item, place, number = items[i], batch.place[r], batch.number[r]
-                own = np.isin(number, item)
+            out, docs, keys, got = [], batch.doc_id.to_numpy(), batch.key.to_numpy(), unpacked(batch)
+            of_row = lambda r, starts, *columns: (x[starts[r] : starts[r + 1]] for x in columns)
+            for r, i, blocks, cosine in by_pair(near_blocks(got, square, least, w, goal, length), of):
+                item, (place, number) = items[i], of_row(r, *got)
+                wanted[item] = True
+                own = np.flatnonzero(wanted[number])
+                wanted[item] = False
+                if len(own) < LIKELY * len(item):
+                    continue  # the document has too few of the item's words
                 best = (0.0, 0.0, 0, 0)
-                for low, high in stretches_of(sorted({k for k, _ in found}), len(item)):
-                    got = best_match(item.tolist(), place[own], number[own], low, high)
-                    if got[:2] > best[:2]:
-                        best = got
+                for low, high in stretches_of(blocks, len(item)):
+                    best = max(best, best_match(item.tolist(), place[own], number[own], low, high), key=lambda x: x[:2])
                 if is_leak(best[0], best[1]):
-                    out.append((docs[r], ids[i], best[0], best[1], max(c for _, c in found), best[2], best[3], keys[r]))
+                    out.append((docs[r], ids[i], best[0], best[1], cosine, best[2], best[3], keys[r]))
             if short.by_size:
-                for r, (place, number) in enumerate(zip(batch.place, batch.number, strict=True)):
-                    for i, at in dict(short.within(place, number)).items():
+                for r in range(len(batch)):
+                    for i, at in dict(short.within(*of_row(r, *got))).items():
                         out.append((docs[r], ids[i], 1.0, 1.0, 1.0, at, at + len(items[i]), keys[r]))
             if out:
                 frame = pd.DataFrame(out, columns=["doc_id", "item_id", "lcs", "answer", "cosine", "first_word", "last_word", "key"])
