@@ -20,7 +20,8 @@ def with_group_value(rows: DataFrame, group: str, member: str, name: str, partly
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(member), F.lit(SALTS)).cast("int"))
     parts = salted.groupBy(group, "__salt").agg(partly.alias(name))
     total = parts.groupBy(group).agg(whole.alias(name), F.collect_list("__salt").alias("__salts")).select(group, name, F.explode("__salts").alias("__salt"))
-    return salted.join(total, [group, "__salt"]).drop("__salt")
+    # merged, as a broadcast of small `rows` would leave them where `total` lies: all of a group in one task
+    return salted.join(total.hint("merge"), [group, "__salt"]).drop("__salt")
 
 
 def _starred(edges: DataFrame) -> DataFrame:
