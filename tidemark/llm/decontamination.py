@@ -306,7 +306,8 @@ def near_blocks(batch: tuple, square: np.ndarray, least: float, w: np.ndarray, g
     block, number, first, at = got
     for low in range(0, len(at), 20_000):
         some = at[low : low + 20_000]
-        y = passages(block, number, some, w)
+        a, b = np.searchsorted(block, [some[0], some[-1] + 2])
+        y = passages(block[a:b], number[a:b], some, w)
         own = np.sqrt((y * y).sum(1))
         for start in range(0, len(goal), 2_000):
             cosine = y @ goal[start : start + 2_000].T
