@@ -144,8 +144,8 @@ def document_frequency(read: DataFrame, size: int) -> tuple[np.ndarray, int]:
         total = np.zeros(size + 1)
         for batch in batches:
             starts, _, number = unpacked(batch)
-            doc = np.repeat(np.arange(len(batch)), np.diff(starts))
-            total[:size] += np.bincount(np.unique(doc * size + number) % size, minlength=size)
+            for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+                total[np.unique(number[a:b])] += 1
             total[size] += len(batch)
         yield pd.DataFrame({"key": [0], "value": [total.tobytes()]})
 
