@@ -1,5 +1,6 @@
 """Hand fixtures and brute force for the genomic engine."""
 
+import itertools
 import random
 import warnings
 
@@ -263,3 +264,89 @@ def test_experiments_keep_their_kind(spark):
     exp = small(spark)
     assert isinstance(assay.subset(exp, "strand = '+'"), Experiment)
     assert assay.subset(exp, "strand = '+'").expr.count() == 3
+
+
+def test_multimodality_equals_brute_force():
+    """Every mode, both isotonic fits by the max-min formula over all blocks."""
+
+    def rising(y):
+        n = len(y)
+        fit = [max(min(np.mean(y[a : b + 1]) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        return float(((np.array(y) - fit) ** 2).sum()) if n else 0.0
+
+    rng = random.Random(3)
+    for _ in range(150):
+        x = np.array([rng.choice([0, 0, 1, 2, 3.5, 7]) for _ in range(rng.randint(1, 9))])
+        want = min(rising(x[: k + 1]) + rising(x[k:][::-1]) for k in range(len(x)))
+        assert shape.multimodality(x) == pytest.approx(want, abs=1e-9)
+
+
+def test_link_p_values_equal_brute_force():
+    """Student's law by summing its density, Kendall's by going through all orders."""
+    rng = np.random.default_rng(4)
+    for n in (3, 5, 7, 12):
+        for _ in range(5):
+            x, y = rng.normal(size=(2, n))
+            r, p = stats.pearson(x, y)
+            t, df = abs(r) * np.sqrt((n - 2) / (1 - r * r)), n - 2
+            u = (np.arange(2_000_000) + 0.5) / 2_000_000  # from t on, as t / u
+            tail = np.mean((1 + (t / u) ** 2 / df) ** (-(df + 1) / 2) * t / u**2)
+            at = (np.arange(2_000_000) + 0.5) / 2_000_000 * np.pi / 2
+            whole = np.mean((1 + np.tan(at) ** 2 / df) ** (-(df + 1) / 2) / np.cos(at) ** 2) * np.pi / 2
+            assert p == pytest.approx(tail / whole, rel=1e-4)
+    sign = lambda v: np.sign(v[:, None] - v[None, :])
+    for n in (3, 4, 5, 6):
+        orders = [np.array(o) for o in itertools.permutations(range(n))]
+        sums = np.array([(sign(np.arange(n)) * sign(o)).sum() / 2 for o in orders])
+        for o, s in list(zip(orders, sums, strict=True))[:: max(1, len(orders) // 12)]:
+            tau, p = stats.kendall(np.arange(n, dtype=float), o.astype(float))
+            assert tau == pytest.approx(s / (n * (n - 1) / 2)) and p == pytest.approx(min(1.0, 2 * min(np.mean(sums <= s), np.mean(sums >= s))))
+
+
+def test_designs_and_genomes(spark):
+    design = spark.createDataFrame([("b", "x"), ("a", "y")], "sample string, kind string")
+    got = ctss.clean_design(spark, ["b", "a"], design).orderBy("sample_rank").collect()
+    assert [(r.sample, r.kind, r.sample_rank) for r in got] == [("b", "x", 1), ("a", "y", 2)]
+    with pytest.raises(ValueError):
+        ctss.clean_design(spark, ["a", "b"], design)
+    assert checks.check_genomes(genome(spark), genome(spark))
+    with pytest.raises(ValueError):
+        checks.check_genomes(genome(spark), genome(spark, 999))
+    points = pooled(spark, [("chr1", 5, "+", 1.0)])
+    assert checks.check_pooled(points, genome(spark))
+    for wrong in (points.withColumn("end", F.col("end") + 1), points.unionByName(points), points.withColumn("seqname", F.lit("chr9")), points.withColumn("score", F.lit("x"))):
+        with pytest.raises(ValueError):
+            checks.check_pooled(wrong, genome(spark))
+
+
+def test_compatible_genomes_of_files(spark, tmp_path):
+    one, two = f"{tmp_path}/one.bw", f"{tmp_path}/two.bw"
+    bigwig.write_bigwig(pooled(spark, [("chr1", 5, "+", 1.0)]), genome(spark), one)
+    bigwig.write_bigwig(pooled(spark, [("chr1", 5, "+", 1.0)]), genome(spark, 999), two)
+    assert genomes.check_compatible({"a": one}, {"a": one}, genome(spark))
+    with pytest.raises(ValueError):
+        genomes.check_compatible({"a": one}, {"a": two}, genome(spark))
+    with pytest.raises(ValueError):
+        genomes.common_genome(spark, {"a": one}, {"a": two}, "union")
+
+
+def test_runs_and_sums_across_tiles(spark):
+    rng = random.Random(8)
+    rows = [("k", p, rng.randint(1, 2)) for p in range(1, 200) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "key string, pos long, v long")
+    value = {p: v for _, p, v in rows}
+    got = tiles.ends_of_runs(df, ["key"], "pos", "v", "ends", tile=8).collect()
+    assert {(r.pos, r.ends) for r in got} == {(p, value.get(p + 1) != v) for p, v in value.items()} and len(got) == len(rows)
+    summed = tiles.running_sums(df, ["key"], "pos", ["v"], tile=8, totals=True).collect()
+    assert {(r.pos, r.v, r.total_v) for r in summed} == {(p, sum(v for q, v in value.items() if q <= p), sum(value.values())) for p in value}
+
+
+def test_peaks_are_centers_of_first_runs_at_edges(spark):
+    """Runs cut by a range's end, runs over a tile's border, clusters without a merge distance."""
+    at = 1 << 16
+    points = pooled(spark, [("chr1", at + i, "+", 2.0) for i in range(-2, 3)] + [("chr1", at + 40, "+", 1.0)])
+    got = cluster.cluster_unidirectionally(points, merge_dist=5).orderBy("start").collect()
+    assert [(r.start, r.end, r.thick.start) for r in got] == [(at - 2, at + 2, at), (at + 40, at + 40, at + 40)]
+    cut = spark.createDataFrame([("chr1", at - 2, at + 1, "+")], "seqname string, start long, end long, strand string")
+    assert cluster.tc_stats(cut, points).first().thick.start == at - 1
+    assert [r.thick.start for r in cluster.cluster_unidirectionally(points, merge_dist=0).orderBy("start").collect()] == [at - 2, at - 1, at, at + 1, at + 2, at + 40]

@@ -5,13 +5,13 @@ Signals are the integers `score_n`, so sums, running sums and comparisons are ex
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import center, overlap, promoter
 from ..model import UNIT, Features, features_of, signal
 from ..plans.overlaps import points_in
-from ..plans.tiles import islands
+from ..plans.tiles import ends_of_runs, islands, running_sums
 
 CLUSTER = ("feature_id", "seqname", "start", "end", "strand", "score", "score_n", "thick")
 
@@ -24,31 +24,49 @@ def scored(pooled: Features) -> DataFrame:
     return features_of(pooled).select("seqname", "start", "strand", "score_n").filter("score_n != 0")
 
 
+def _with_run_ends(pooled: Features) -> DataFrame:
+    """Positions and whether the run of neighbouring positions with the same value ends there."""
+    return ends_of_runs(scored(pooled), ["seqname", "strand"], "start", "score_n", "run_ends")
+
+
+def _summed(points: DataFrame, key: list[str], ends: Column, *more: Column) -> DataFrame:
+    """score_n and peak of groups of positions (pos, v), in one pass: of the largest values the first position, and the first
+    position at which a run of them ends."""
+    value = F.struct(F.col("v"), (-F.col("pos")).alias("pos"))
+    found = points.groupBy(*key).agg(F.sum("v").alias("score_n"), F.max(value).alias("__first"), F.max(F.when(ends, value)).alias("__last"), *more)
+    return found.withColumn("peak", center(-F.col("__first.pos"), -F.col("__last.pos"))).drop("__first", "__last")
+
+
+def _named(ranges: DataFrame) -> DataFrame:
+    return ranges.withColumns({"feature_id": cluster_id(), "score": signal(F.col("score_n")), "thick": F.struct(F.col("peak").alias("start"), F.col("peak").alias("end"))}).select(*CLUSTER)
+
+
 def tc_stats(ranges: DataFrame, pooled: Features) -> DataFrame:
     """Score and peak of ranges (seqname, start, end, strand), by all positions in them.
 
     The peak is the center of the first run of neighbouring positions with the largest value.
     """
-    found = points_in(scored(pooled), ranges.select("seqname", "start", "end", "strand"))
     key = ["seqname", "start", "end", "strand"]
-    points = found.filter("p.strand = s.strand").select(*[F.col(f"s.{k}").alias(k) for k in key], F.col("p.start").alias("pos"), F.col("p.score_n").alias("v"))
-    sums = points.groupBy(*key).agg(F.sum("v").alias("score_n"), F.max("v").alias("most"))
-    tops = points.join(sums.select(*key, "most"), key).filter("v = most")
-    runs = tops.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(*key).orderBy("pos")))
-    runs = runs.groupBy(*key, "run").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
-    peaks = runs.groupBy(*key).agg(F.min_by(F.struct("a", "b"), "a").alias("first")).withColumn("peak", center(F.col("first.a"), F.col("first.b")))
-    out = ranges.select(*key).join(sums.drop("most"), key, "left").join(peaks.select(*key, "peak"), key, "left")
-    out = out.withColumn("score_n", F.coalesce("score_n", F.lit(0).cast("long"))).withColumn("peak", F.coalesce("peak", "start"))
-    return out.withColumns({"feature_id": cluster_id(), "score": signal(F.col("score_n")), "thick": F.struct(F.col("peak").alias("start"), F.col("peak").alias("end"))}).select(*CLUSTER)
+    found = points_in(_with_run_ends(pooled), ranges.select(*key))
+    points = found.filter("p.strand = s.strand").select(*[F.col(f"s.{k}").alias(k) for k in key], F.col("p.start").alias("pos"), F.col("p.score_n").alias("v"), "p.run_ends")
+    stats = _summed(points, key, F.col("run_ends") | (F.col("pos") == F.col("end")))
+    out = ranges.select(*key).join(stats, key, "left")
+    return _named(out.withColumn("score_n", F.coalesce("score_n", F.lit(0).cast("long"))).withColumn("peak", F.coalesce("peak", "start")))
 
 
 def cluster_unidirectionally(pooled: Features, cutoff: float = 0, merge_dist: int = 20) -> DataFrame:
     """Clusters of positions over the cutoff that are `merge_dist` bases apart at most."""
     if cutoff < 0 or merge_dist < 0:
         raise ValueError("cutoff and merge distance must be 0 or more")
-    over = scored(pooled).filter(F.col("score_n") > round(cutoff * UNIT)).withColumn("end", F.col("start"))
-    ranges = islands(over, ["seqname", "strand"], merge_dist).groupBy("seqname", "strand", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return tc_stats(ranges.drop("island"), pooled)
+    key = ["seqname", "strand", "island"]
+    if cutoff > 0:  # positions up to the cutoff count for the clusters they lie in
+        over = scored(pooled).filter(F.col("score_n") > round(cutoff * UNIT)).withColumn("end", F.col("start"))
+        ranges = islands(over, ["seqname", "strand"], merge_dist).groupBy(*key).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        return tc_stats(ranges.drop("island"), pooled)
+    points = _with_run_ends(pooled).filter("score_n > 0").withColumn("end", F.col("start"))
+    points = islands(points, ["seqname", "strand"], merge_dist).withColumns({"pos": F.col("start"), "v": F.col("score_n")})
+    # without a merge distance neighbouring positions are clusters of their own
+    return _named(_summed(points, key, F.col("run_ends") if merge_dist else F.lit(True), F.min("pos").alias("start"), F.max("pos").alias("end")))
 
 
 def tune_thresholds(pooled: Features, steps: int = 10, method: str = "minUnique", max_exponent: float = 1) -> list[int]:
@@ -72,12 +90,16 @@ def tune_tag_clustering(pooled: Features, steps: int = 10, merge_dist: int = 20,
     return named.join(counted, "threshold_n", "left").select(signal(F.col("threshold_n")).alias("threshold"), F.coalesce("nTCs", F.lit(0)).cast("long").alias("nTCs"))
 
 
-def _profile(clusters: DataFrame, pooled: Features) -> DataFrame:
-    """Every position of every stranded cluster with running sums from both ends and the total."""
+#: Parts of a cluster's signal by which the order of its positions is dealt out.
+PARTS = 64
+
+
+def profile(clusters: DataFrame, pooled: Features) -> DataFrame:
+    """Every position of every stranded cluster with running sums from both ends and the total, dealt by tile."""
     stranded = clusters.filter("strand != '*'").select("feature_id", "seqname", "start", "end", "strand")
-    found = points_in(scored(pooled), stranded).filter("p.strand = s.strand").select(F.col("s.*"), F.col("p.start").alias("pos"), F.col("p.score_n").alias("v"))
-    whole = Window.partitionBy("feature_id")
-    return found.withColumns({"fwd": F.sum("v").over(whole.orderBy("pos")), "rev": F.sum("v").over(whole.orderBy(F.desc("pos"))), "total": F.sum("v").over(whole)})
+    found = points_in(scored(pooled), stranded).filter("p.strand = s.strand").select("s.feature_id", F.col("p.start").alias("pos"), F.col("p.score_n").alias("v"))
+    summed = running_sums(found.withColumn("fwd", F.col("v")), ["feature_id"], "pos", ["fwd"], totals=True).withColumnRenamed("total_fwd", "total")
+    return summed.withColumn("rev", F.col("total") - F.col("fwd") + F.col("v"))
 
 
 def trim_to_percentiles(clusters: Features, pooled: Features, percentile: float = 0.1, symmetric: bool = False) -> DataFrame:
@@ -89,14 +111,15 @@ def trim_to_percentiles(clusters: Features, pooled: Features, percentile: float
     if not 0 < percentile <= 1:
         raise ValueError("the percentile must be over 0 and 1 at most")
     clusters = features_of(clusters)
-    profile = _profile(clusters, pooled)
+    rows = profile(clusters, pooled)
     part = F.col("total") * F.lit(float(percentile))
     if symmetric:
-        kept = profile.groupBy("feature_id").agg(F.min(F.when(F.col("fwd") >= part / 2, F.col("pos"))).alias("a"), F.max(F.when(F.col("rev") >= part / 2, F.col("pos"))).alias("b"))
+        kept = rows.groupBy("feature_id").agg(F.min(F.when(F.col("fwd") >= part / 2, F.col("pos"))).alias("a"), F.max(F.when(F.col("rev") >= part / 2, F.col("pos"))).alias("b"))
     else:
-        least = profile.withColumn("least", F.least("fwd", "rev"))
-        gone = F.sum("v").over(Window.partitionBy("feature_id").orderBy("least", "pos").rowsBetween(Window.unboundedPreceding, 0))
-        kept = least.withColumn("gone", gone).filter(F.col("gone") > part).groupBy("feature_id").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
+        # at most two positions have one sum, one from either end
+        ordered = rows.select("feature_id", "pos", "total", F.least("fwd", "rev").alias("least"), F.col("v").alias("gone")).withColumn("order", F.struct("least", "pos"))
+        summed = running_sums(ordered, ["feature_id"], "order", ["gone"], tile=F.floor(F.col("least") / F.col("total") * 2 * PARTS))
+        kept = summed.filter(F.col("gone") > part).groupBy("feature_id").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
     trimmed = clusters.filter("strand != '*'").select("feature_id", "seqname", "start", "end", "strand").join(kept, "feature_id", "left")
     return tc_stats(trimmed.select("seqname", F.coalesce("a", "start").alias("start"), F.coalesce("b", "end").alias("end"), "strand"), pooled)
 

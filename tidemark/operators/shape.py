@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import width
 from ..model import UNIT, Features, features_of, same_kind
 from ..plans.overlaps import points_in
-from .cluster import scored
+from .cluster import profile, scored
 
 
 def _points(clusters: Features, pooled: Features) -> DataFrame:
@@ -28,8 +28,7 @@ def _attached(clusters: Features, stats: DataFrame, output: str) -> Features:
 
 def shape_iqr(clusters: Features, pooled: Features, lower: float = 0.25, upper: float = 0.75, output: str = "IQR") -> Features:
     """Distance between the positions where the running share of the signal reaches two quantiles."""
-    whole = Window.partitionBy("feature_id")
-    running = _points(clusters, pooled).withColumns({"fwd": F.sum("v").over(whole.orderBy("pos")), "total": F.sum("v").over(whole)})
+    running = profile(features_of(clusters), pooled)
 
     def first(q: float) -> Column:
         return F.min(F.when(F.col("fwd") >= F.col("total") * F.lit(float(q)), F.col("pos")))

@@ -10,8 +10,6 @@ from ..model import Features, features_of
 from .bidirectional import balance_segments
 from .cluster import scored
 
-COLOURS = {"Plus": "cornflowerblue", "Minus": "tomato", "Unstranded": "hotpink"}
-
 
 def track_ctss(pooled: Features) -> DataFrame:
     """Signal of both strands at each position, that of the minus strand negated."""

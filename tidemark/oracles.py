@@ -48,8 +48,13 @@ def grown(up: int, down: int) -> str:
     return f"(SELECT *, CASE WHEN strand = '-' THEN e ELSE s END AS tss, greatest(1, least(s, CASE WHEN strand = '-' THEN e - {down} + 1 ELSE s - {up} END)) AS ws, least({L}, greatest(e, CASE WHEN strand = '-' THEN e + {up} ELSE s + {down} - 1 END)) AS we FROM genes)"
 
 
-def nearest_gene(up: int, down: int, a: str, b: str) -> str:
-    return f"""SELECT t.id AS feature_id, arg_min(g.gene_id, [greatest(0, greatest(t.s, g.tss) - least(t.e, g.tss) - 1), g.row_idx]) AS "geneID"
+def widened_tx(up: int, a: str, b: str) -> str:
+    return f"""SELECT t.id AS feature_id, string_agg('t' || g.row_idx, ';' ORDER BY 't' || g.row_idx) AS "txID"
+        FROM tc t LEFT JOIN {grown(up, 0)} g ON t.seqname = g.seqname AND t.strand = g.strand AND {a} <= g.we AND {b} >= g.ws GROUP BY 1"""
+
+
+def nearest_gene(up: int, down: int, a: str, b: str, ties: str = "row_idx") -> str:
+    return f"""SELECT t.id AS feature_id, arg_min(g.gene_id, {{'d': greatest(0, greatest(t.s, g.tss) - least(t.e, g.tss) - 1), 'i': g.{ties}}}) FILTER (g.gene_id IS NOT NULL) AS "geneID"
         FROM tc t LEFT JOIN {grown(up, down)} g ON t.seqname = g.seqname AND t.strand = g.strand AND {a} <= g.we AND {b} >= g.ws GROUP BY 1"""
 
 
@@ -84,6 +89,11 @@ PARTS |= {
     "capped": f"SELECT c.seqname, c.pos, CAST(d.p AS BIGINT) AS p, CAST(d.m AS BIGINT) AS m FROM centred c JOIN centred d ON d.seqname = c.seqname AND d.pos = least(greatest(c.pos, {H + 1}), {L - H})",
     "sums": f"SELECT seqname, pos, coalesce(lead(p, {H}) OVER w, 0) / 1e9 AS pd, coalesce(lag(m, {H}) OVER w, 0) / 1e9 AS md, coalesce(lag(p, {H}) OVER w, 0) / 1e9 AS pu, coalesce(lead(m, {H}) OVER w, 0) / 1e9 AS mu FROM capped WINDOW w AS (PARTITION BY seqname ORDER BY pos)",
     "balanced": "SELECT *, CASE WHEN pd + md + pu + mu = 0 THEN 0 ELSE sqrt(0.5 * pd / (pd + md + pu + mu)) + sqrt(0.5 * md / (pd + md + pu + mu)) END AS b FROM sums",
+    "full_grid": f"SELECT g.seqname, g.pos, coalesce(sum(n) FILTER (strand = '+'), 0) AS p, coalesce(sum(n) FILTER (strand = '-'), 0) AS m FROM (SELECT * FROM wide_grid WHERE pos BETWEEN 1 AND {L}) g LEFT JOIN pooled USING (seqname, pos) GROUP BY 1, 2",
+    "full_centred": f"SELECT seqname, pos, sum(p) OVER w AS p, sum(m) OVER w AS m FROM full_grid WINDOW w AS (PARTITION BY seqname ORDER BY pos ROWS BETWEEN {H} PRECEDING AND {H} FOLLOWING)",
+    "full_capped": f"SELECT c.seqname, c.pos, CAST(d.p AS BIGINT) AS p, CAST(d.m AS BIGINT) AS m FROM full_centred c JOIN full_centred d ON d.seqname = c.seqname AND d.pos = least(greatest(c.pos, {H + 1}), {L - H})",
+    "full_sums": f"SELECT seqname, pos, coalesce(lead(p, {H}) OVER w, 0) / 1e9 AS pd, coalesce(lag(m, {H}) OVER w, 0) / 1e9 AS md, coalesce(lag(p, {H}) OVER w, 0) / 1e9 AS pu, coalesce(lead(m, {H}) OVER w, 0) / 1e9 AS mu FROM full_capped WINDOW w AS (PARTITION BY seqname ORDER BY pos)",
+    "full_balanced": "SELECT *, CASE WHEN pd + md + pu + mu = 0 THEN 0 ELSE sqrt(0.5 * pd / (pd + md + pu + mu)) + sqrt(0.5 * md / (pd + md + pu + mu)) END AS b FROM full_sums",
     "hot_flags": f"SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY seqname ORDER BY pos) <= {2 * (W - 1)} THEN 0 ELSE 1 END AS f FROM balanced WHERE b > {THRESHOLD}",
     "hot": "SELECT *, sum(f) OVER (PARTITION BY seqname ORDER BY pos) AS k FROM hot_flags",
     "loci_ranges": "SELECT seqname, k, min(pos) AS a, max(pos) AS b, max(b) AS top FROM hot GROUP BY 1, 2",
@@ -136,7 +146,7 @@ _SQL = {
     "tpm": 'SELECT seqname, pos AS start, strand, sample, counts, round(tpm, 6) AS "TPM" FROM tpm',
     "pooled_scores": "SELECT seqname, pos AS start, strand, round(n / 1e9, 6) AS score FROM pooled",
     "support": "SELECT seqname, pos AS start, strand, CAST(count(*) FILTER (counts > 10) AS INTEGER) AS support FROM ctss GROUP BY 1, 2, 3",
-    "support_negative": "SELECT CAST(7 AS INTEGER) AS support, count(*) AS n FROM pooled",
+    "support_negative": "SELECT seqname, pos AS start, strand, CAST(7 AS INTEGER) AS support FROM pooled",
     "subset_support": "SELECT id AS feature_id, CAST(count(*) AS INTEGER) AS support FROM counted GROUP BY 1 HAVING count(*) > 1",
     "composition": 'SELECT id AS feature_id, gene AS "geneID", CAST(count(*) FILTER (share > 0.1) AS INTEGER) AS composition FROM shares GROUP BY 1, 2',
     "subset_composition": "SELECT id AS feature_id, CAST(count(*) FILTER (share > 0.1) AS INTEGER) AS composition FROM shares GROUP BY 1 HAVING count(*) FILTER (share > 0.1) > 1",
@@ -144,6 +154,7 @@ _SQL = {
     "tag_clusters_cutoff": flat("cut"),
     "cluster_widths": "SELECT coalesce(w, 'Total') AS width, count(*) AS count, round(count(*) / (SELECT count(*) FROM tc) * 100, 6) AS percent FROM (SELECT CASE WHEN e - s + 1 <= 10 THEN '>=1' WHEN e - s + 1 <= 100 THEN '>=10' WHEN e - s + 1 <= 1000 THEN '>=100' ELSE '>=1000' END AS w FROM tc) GROUP BY ROLLUP (w)",
     "tune_thresholds": "SELECT round(h / 1e9, 6) AS threshold, sum(f)::BIGINT AS \"nTCs\" FROM (SELECT h, CASE WHEN pos - lag(pos) OVER (PARTITION BY h, seqname, strand ORDER BY pos) <= 20 THEN 0 ELSE 1 END AS f FROM pooled, (SELECT 0 AS h UNION ALL (SELECT DISTINCT n FROM pooled ORDER BY n LIMIT 5)) WHERE n > h) GROUP BY h",
+    "tune_exponential": "SELECT round(h / 1e9, 6) AS threshold, sum(f)::BIGINT AS \"nTCs\" FROM (SELECT h, CASE WHEN pos - lag(pos) OVER (PARTITION BY h, seqname, strand ORDER BY pos) <= 20 THEN 0 ELSE 1 END AS f FROM pooled, (SELECT 0 AS h UNION ALL SELECT CAST(round((SELECT min(n) FROM pooled) * pow(2, 6 * i / 3)) AS BIGINT) FROM (SELECT unnest([0, 1, 2, 3]) AS i)) WHERE n > h) GROUP BY h",
     "quantify_tag_clusters": "SELECT id AS feature_id, sample, counts FROM counted",
     "quantify_dense": "SELECT id AS feature_id, 's' || i AS sample, CAST(v AS BIGINT) AS counts FROM grid_counts",
     "quantified_genes": 'SELECT g.gene AS "geneID", CAST(g.k AS INTEGER) AS "nClusters", c.sample, CAST(sum(c.counts) AS BIGINT) AS counts FROM in_gene c JOIN (SELECT gene, count(*) AS k FROM plain GROUP BY 1) g USING (gene) GROUP BY 1, 2, 3',
@@ -152,17 +163,24 @@ _SQL = {
     "clusters_in_genes": "SELECT id AS feature_id FROM tc t WHERE EXISTS (SELECT 1 FROM genes g WHERE g.seqname = t.seqname AND g.strand = t.strand AND g.s <= t.e AND g.e >= t.s)",
     "clusters_outside_genes": "SELECT id AS feature_id FROM tc t WHERE NOT EXISTS (SELECT 1 FROM genes g WHERE g.seqname = t.seqname AND g.strand = t.strand AND g.s <= t.e AND g.e >= t.s)",
     "tx_type": f"SELECT t.id AS feature_id, coalesce(arg_min(m.category, m.k), 'intergenic') AS \"txType\" FROM tc t LEFT JOIN ({models(500, False)}) m ON m.seqname = t.seqname AND m.strand = t.strand AND m.s <= t.e AND m.e >= t.s GROUP BY 1",
-    "tx_type_swapped": f"SELECT c AS \"txType\", count(*) AS n FROM (SELECT t.id, coalesce(arg_min(m.category, m.k), 'intergenic') AS c FROM tc t LEFT JOIN ({models(1000, True)}) m ON m.seqname = t.seqname AND m.strand = t.strand AND t.peak BETWEEN m.s AND m.e GROUP BY 1) GROUP BY 1",
+    "tx_type_swapped": f"SELECT t.id AS feature_id, coalesce(arg_min(m.category, m.k), 'intergenic') AS \"txType\" FROM tc t LEFT JOIN ({models(1000, True)}) m ON m.seqname = t.seqname AND m.strand = t.strand AND t.peak BETWEEN m.s AND m.e GROUP BY 1",
     "gene_id": nearest_gene(1000, 100, "t.s", "t.e"),
     "gene_id_swapped": nearest_gene(200, 50, "t.peak", "t.peak"),
     "tx_id": "SELECT t.id AS feature_id, string_agg('t' || g.row_idx, ';' ORDER BY g.row_idx) AS \"txID\" FROM tc t LEFT JOIN genes g ON g.seqname = t.seqname AND g.strand = t.strand AND g.s <= t.e AND g.e >= t.s GROUP BY 1",
-    "tx_id_models": f"SELECT t.id AS feature_id, CAST(count(g.row_idx) AS INTEGER) AS n FROM tc t LEFT JOIN {grown(100, 0)} g ON g.seqname = t.seqname AND g.strand = t.strand AND g.ws <= t.e AND g.we >= t.s GROUP BY 1",
+    "tx_id_models": widened_tx(100, "t.s", "t.e"),
+    "tx_id_swapped": widened_tx(1000, "t.peak", "t.peak"),
+    "tx_id_compat": widened_tx(100, "t.s", "t.e"),
+    "gene_id_models": nearest_gene(300, 50, "t.s", "t.e", "gene_id"),
     "missing_id": "SELECT id AS feature_id, CASE WHEN gene IS NULL THEN 'Novel' || row_number() OVER (PARTITION BY gene IS NULL ORDER BY CAST(substr(seqname, 4) AS BIGINT), strand, s, e) ELSE gene END AS \"geneID\" FROM tc LEFT JOIN plain USING (id)",
     "combined_clusters": "SELECT t.id AS feature_id, t.seqname, t.s AS start, t.e AS \"end\", t.strand, round(t.n / 1e9, 6) AS score FROM tc t WHERE NOT EXISTS (SELECT 1 FROM loci l WHERE l.seqname = t.seqname AND l.s <= t.e AND l.e >= t.s) UNION ALL SELECT l.id, l.seqname, l.s, l.e, '*', round(x.n / 1e9, 6) FROM loci l JOIN loci_scores x USING (id)",
+    "combined_right": "SELECT t.id AS feature_id, t.seqname, t.s AS start, t.e AS \"end\", t.strand, round(t.n / 1e9, 6) AS score FROM tc t UNION ALL SELECT l.id, l.seqname, l.s, l.e, '*', round(x.n / 1e9, 6) FROM loci l JOIN loci_scores x USING (id) WHERE NOT EXISTS (SELECT 1 FROM tc t WHERE l.seqname = t.seqname AND l.s <= t.e AND l.e >= t.s)",
+    "combined_all": "SELECT t.id AS feature_id, t.seqname, t.s AS start, t.e AS \"end\", t.strand, round(t.n / 1e9, 6) AS score FROM tc t UNION ALL SELECT l.id, l.seqname, l.s, l.e, '*', round(x.n / 1e9, 6) FROM loci l JOIN loci_scores x USING (id)",
     "swapped_ranges": 'SELECT id AS feature_id, peak AS start, peak AS "end", s AS whole_start, e AS whole_end FROM tc',
     "swapped_scores": "SELECT t.id AS feature_id, coalesce(c.counts, 0) AS score FROM tc t LEFT JOIN counted c ON c.id = t.id AND c.sample = 's3'",
     "bidir_regions": 'SELECT seqname, s AS start, e AS "end" FROM regions',
-    "balance_bases": "SELECT seqname, pos, round(pd, 6) AS pd, round(md, 6) AS md, round(pu, 6) AS pu, round(mu, 6) AS mu, round(b, 6) AS balance FROM balanced WHERE b > 0.8",
+    "balance_bases": "SELECT seqname, pos, round(pd, 6) AS pd, round(md, 6) AS md, round(pu, 6) AS pu, round(mu, 6) AS mu, round(b, 6) AS balance FROM balanced WHERE pd + md + pu + mu > 0",
+    "balance_directional": f"SELECT seqname || ':' || (min(pos) - {W - 1}) || '-' || (max(pos) + {W - 1}) AS feature_id, seqname, min(pos) - {W - 1} AS start, max(pos) + {W - 1} AS \"end\", round(max(b), 6) AS balance FROM (SELECT *, sum(f) OVER (PARTITION BY seqname ORDER BY pos) AS k FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY seqname ORDER BY pos) <= {2 * (W - 1)} THEN 0 ELSE 1 END AS f FROM (SELECT seqname, pos, CASE WHEN pd + md = 0 THEN 0 ELSE abs(abs((pd - md) / (pd + md)) - 1) END AS b FROM balanced) WHERE b > 0.8)) GROUP BY seqname, k",
+    "tracks_balance": "SELECT seqname, pos, round(pd, 6) AS pd, round(md, 6) AS md, round(pu, 6) AS pu, round(mu, 6) AS mu, round(b, 6) AS balance FROM full_balanced WHERE pd + md + pu + mu > 0",
     "bidir_clusters": "SELECT id AS feature_id, seqname, s AS start, e AS \"end\", '*' AS strand, round(n / 1e9, 6) AS score, peak AS thick_start, peak AS thick_end, round(top, 6) AS balance FROM loci JOIN loci_scores USING (id)",
     "bidirectional_samples": "SELECT id AS feature_id, CAST(count(*) FILTER (p > 0 AND m > 0) AS INTEGER) AS bidirectionality FROM arms GROUP BY 1",
     "shape_iqrs": 'SELECT id AS feature_id, CAST(min(pos) FILTER (fwd >= total * 0.75) - min(pos) FILTER (fwd >= total * 0.25) AS DOUBLE) AS "IQR" FROM profile GROUP BY 1',
@@ -180,14 +198,21 @@ _SQL = {
     "tracks_clusters": "SELECT * FROM (SELECT seqname, s AS start, peak - 1 AS \"end\", 'thin' || CASE strand WHEN '+' THEN 'Plus' ELSE 'Minus' END AS feature, id AS transcript FROM tc UNION ALL SELECT seqname, peak, peak, 'thick' || CASE strand WHEN '+' THEN 'Plus' ELSE 'Minus' END, id FROM tc UNION ALL SELECT seqname, peak + 1, e, 'thin' || CASE strand WHEN '+' THEN 'Plus' ELSE 'Minus' END, id FROM tc) WHERE start <= \"end\"",
     "tracks_links": "SELECT i AS anchor1, j AS anchor2, d AS distance, seq AS seqname1, s1 AS start1, e1 AS end1, seq AS seqname2, s2 AS start2, e2 AS end2 FROM link WHERE d <= 20 AND (s1, e1, i) < (s2, e2, j)",
     "genome_tiles": "SELECT 'chr' || s_suppkey AS seqname, CAST(i AS BIGINT) AS start, CAST(least(i + 2999, 10000) AS BIGINT) AS \"end\" FROM supplier, (SELECT unnest([1, 3001, 6001, 9001]) AS i)",
-    "expanded_ranges": "SELECT gene_id, e - s + 1 AS n, CAST((s + e) * (e - s + 1) // 2 AS BIGINT) AS total FROM genes WHERE e - s < 200",
-    "gene_cover": "SELECT seqname, strand, depth AS value, count(*) AS bases FROM (SELECT g.seqname, g.strand, i, count(*) AS depth FROM genes g, (SELECT unnest(generate_series(1, 10000)) AS i) WHERE i BETWEEN g.s AND g.e GROUP BY 1, 2, 3) WHERE depth > 1 GROUP BY 1, 2, 3",
+    "expanded_ranges": "SELECT gene_id, e - s + 1 AS n, CAST((s + e) * (e - s + 1) // 2 AS BIGINT) AS total FROM genes",
+    "gene_cover": "SELECT g.seqname, g.strand, i AS pos, count(*) AS value FROM genes g, (SELECT unnest(generate_series(1, 10000)) AS i) WHERE i BETWEEN g.s AND g.e GROUP BY 1, 2, 3",
+    "gene_depth_over": "SELECT seqname, strand, min(i) AS start, max(i) AS \"end\" FROM (SELECT seqname, strand, i, i - row_number() OVER (PARTITION BY seqname, strand ORDER BY i) AS k FROM (SELECT g.seqname, g.strand, i FROM genes g, (SELECT unnest(generate_series(1, 10000)) AS i) WHERE i BETWEEN g.s AND g.e GROUP BY 1, 2, 3 HAVING count(*) > 1)) GROUP BY seqname, strand, k",
+    "gene_parts": "SELECT gene_id, s + 2 AS inner_start, s + 9 AS inner_end, CASE strand WHEN '+' THEN s - 30 ELSE s - 7 END AS wide_start, CASE strand WHEN '+' THEN e + 7 ELSE e + 30 END AS wide_end, CASE strand WHEN '+' THEN '-' ELSE '+' END AS turned FROM genes",
+    "genome_tiles_number": "SELECT 'chr' || s_suppkey AS seqname, CAST(a AS BIGINT) AS start, CAST(least(a + w - 1, 10000) AS BIGINT) AS \"end\" FROM (SELECT s_suppkey, w, unnest(generate_series(1, 10000, w)) AS a FROM supplier, (SELECT CAST(ceil(count(*) * 10000 / 37) AS BIGINT) AS w FROM supplier))",
+    "import_bedgraph": "SELECT seqname, pos AS start, strand, sample, counts FROM ctss",
+    "import_bigwig": "SELECT seqname, pos AS start, strand, sample, counts FROM ctss",
+    "import_bigwig_tiles": "SELECT seqname, pos AS start, strand, sample, counts FROM ctss",
+    "converted_formats": "SELECT seqname, pos AS start, pos AS \"end\", strand, CAST(sum(counts) AS BIGINT) AS score FROM ctss GROUP BY 1, 2, 4",
     "reduced_genes": "SELECT seqname, strand, min(s) AS start, max(e) AS \"end\" FROM (SELECT *, sum(f) OVER (PARTITION BY seqname, strand ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY seqname, strand ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 < 50 THEN 0 ELSE 1 END AS f FROM genes)) GROUP BY seqname, strand, k",
     "antisense_genes": "SELECT seqname, min(i) AS start, max(i) AS \"end\" FROM (SELECT seqname, i, i - row_number() OVER (PARTITION BY seqname ORDER BY i) AS k FROM (SELECT DISTINCT g.seqname, i FROM genes g JOIN genes h ON g.seqname = h.seqname AND g.strand = '+' AND h.strand = '-' AND g.s <= h.e AND h.s <= g.e, (SELECT unnest(generate_series(1, 10000)) AS i) WHERE i BETWEEN greatest(g.s, h.s) AND least(g.e, h.e))) GROUP BY seqname, k",
     "genes_without_exons": "SELECT seqname, strand, min(i) AS start, max(i) AS \"end\" FROM (SELECT seqname, strand, i, i - row_number() OVER (PARTITION BY seqname, strand ORDER BY i) AS k FROM (SELECT DISTINCT seqname, strand, i FROM genes, (SELECT unnest(generate_series(1, 10000)) AS i) WHERE i BETWEEN s AND e EXCEPT SELECT DISTINCT seqname, strand, j FROM exons, (SELECT unnest(generate_series(1, 10000)) AS j) WHERE j BETWEEN s AND e)) GROUP BY seqname, strand, k",
-    "quick_tss_counts": "SELECT sample, CAST(sum(counts) AS BIGINT) AS counts, count(*) AS \"values\" FROM counted GROUP BY 1",
+    "quick_tss_counts": "SELECT id AS feature_id, sample, counts FROM counted",
     "quick_enhancer_counts": "SELECT id AS feature_id, sample, CAST(sum(counts) AS BIGINT) AS counts FROM (SELECT c.sample, c.counts, min({'s': l.s, 'e': l.e, 'id': l.id}).id AS id FROM loci l JOIN ctss c ON c.seqname = l.seqname AND c.pos BETWEEN l.s AND l.e WHERE l.id IN (SELECT id FROM arms WHERE p > 0 AND m > 0) GROUP BY c.seqname, c.pos, c.strand, c.sample, c.counts) GROUP BY 1, 2",
     "quick_gene_counts": f"SELECT \"geneID\", CAST(sum(counts) AS BIGINT) AS counts FROM counted c JOIN ({nearest_gene(1000, 100, 't.s', 't.e')}) g ON g.feature_id = c.id WHERE \"geneID\" IS NOT NULL GROUP BY 1",
-    "event_sessions": "SELECT user_id, CAST(sum(f) AS BIGINT) AS sessions, CAST(count(*) AS BIGINT) AS events FROM (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events) GROUP BY 1",
+    "event_sessions": "SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events)) GROUP BY user_id, k",
 }
 ORACLE_SQL = {name: with_parts(sql) for name, sql in _SQL.items()}

@@ -26,11 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder, deleted by `release`."""
+    path = f"{shared_dir(spark)}/tidemark/settled-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def settled(df: DataFrame) -> DataFrame:
     """`df`, written and read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/settled-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

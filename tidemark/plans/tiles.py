@@ -16,8 +16,9 @@ from .settle import settled
 TILE = 1 << 16
 
 
-def with_tile(df: DataFrame, position: Column, tile: int = TILE) -> DataFrame:
-    return df.withColumn("__tile", F.floor(position / tile))
+def with_tile(df: DataFrame, position: Column, tile: int | Column = TILE) -> DataFrame:
+    """`tile` is the width of tiles, or the number of each row's tile, which must not fall as positions rise."""
+    return df.withColumn("__tile", tile if isinstance(tile, Column) else F.floor(position / tile))
 
 
 def _summary_window(keys: Sequence[str]):
@@ -49,17 +50,35 @@ def islands(df: DataFrame, keys: Sequence[str], gap: int, start: str = "start",
     return rows.withColumn(name, F.greatest(own, F.col("__open"))).drop("__tile", "__before", "__begins", "__open")
 
 
-def running_sums(df: DataFrame, keys: Sequence[str], position: str, columns: Sequence[str], tile: int = TILE) -> DataFrame:
-    """Replaces columns by their sums up to each position; positions of a key must be distinct."""
+def running_sums(df: DataFrame, keys: Sequence[str], position: str, columns: Sequence[str], tile: int | Column = TILE, totals: bool = False) -> DataFrame:
+    """Replaces columns by their sums up to each position; positions of a key must be distinct.
+
+    With `totals` the key's sums are added as columns total_*.
+    """
     rows = settled(with_tile(df, F.col(position), tile))
     sums = rows.groupBy(*keys, "__tile").agg(*[F.sum(c).alias(f"__sum_{c}") for c in columns])
-    sums = sums.select(*keys, "__tile", *[F.sum(f"__sum_{c}").over(_summary_window(keys)).alias(f"__carry_{c}") for c in columns])
+    whole = [F.sum(f"__sum_{c}").over(Window.partitionBy(*keys)).alias(f"total_{c}") for c in columns] if totals else []
+    sums = sums.select(*keys, "__tile", *[F.sum(f"__sum_{c}").over(_summary_window(keys)).alias(f"__carry_{c}") for c in columns], *whole)
     rows = _carried(rows, sums, keys)
     order = Window.partitionBy(*keys, "__tile").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({c: F.sum(c).over(order) + F.coalesce(F.col(f"__carry_{c}"), F.lit(0)) for c in columns})
     return rows.drop("__tile", *[f"__carry_{c}" for c in columns])
 
 
+def ends_of_runs(df: DataFrame, keys: Sequence[str], position: str, value: str, name: str, tile: int = TILE) -> DataFrame:
+    """Adds whether the position behind a row, of the same key, lacks the row's value; positions of a key must be distinct.
+
+    Only a row on the first place of a tile can be the next of one in the tile before: it is sent there, too.
+    """
+    at = F.floor(F.col(position) / tile)
+    first = F.when(F.col(position) % tile == 0, F.array(F.struct(at.alias("t"), F.lit(True).alias("own")), F.struct((at - 1).alias("t"), F.lit(False).alias("own"))))
+    rows = df.withColumn("__to", F.explode(F.coalesce(first, F.array(F.struct(at.alias("t"), F.lit(True).alias("own")))))).withColumn("__tile", F.col("__to.t"))
+    order = Window.partitionBy(*keys, "__tile").orderBy(position)
+    following = F.lead(F.struct(position, value)).over(order)
+    goes_on = (following[position] == F.col(position) + 1) & (following[value] == F.col(value))
+    return rows.withColumn(name, ~F.coalesce(goes_on, F.lit(False))).filter("__to.own").drop("__to", "__tile")
+
+
 def next_position(df: DataFrame, keys: Sequence[str], position: str, name: str, tile: int = TILE) -> DataFrame:
     """Adds the next position of the key, null at the last."""
     rows = settled(with_tile(df, F.col(position), tile))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import fixtures
-from .functions.intervals import tiles
+from .functions.balance import balance_d
+from .functions.intervals import extend, invert_strand, narrow, tiles
 from .model import Experiment
-from .operators.annotate import assign_gene_id, assign_tx_id, assign_tx_id_from_models, assign_tx_type, assign_tx_type_from_models, combine_clusters, simplify_models
+from .operators.annotate import assign_gene_id, assign_gene_id_from_models, assign_tx_id, assign_tx_id_from_models, assign_tx_type, assign_tx_type_from_models, combine_clusters, simplify_models
 from .operators.assay import (
     aggregate_rows, assign_missing, calc_composition, calc_pooled, calc_support, calc_total_tags, calc_tpm, quantify_clusters, quantify_genes, subset_by_composition, subset_by_support, swap_ranges, swap_scores, width_summary,
 )
@@ -16,10 +17,14 @@ from .operators.cluster import cluster_unidirectionally, trim_to_peak, trim_to_p
 from .operators.pipelines import pooled, quick_enhancers, quick_genes, quick_tss
 from .operators.shape import shape_entropy, shape_iqr, shape_mean, shape_multimodality, shape_weighted_mean
 from .operators.spatial import find_links, find_links_with_correlation, find_stretches, find_stretches_with_correlation, link_correlations
-from .operators.tracks import track_clusters, track_ctss, track_links
+from .operators.tracks import track_balance, track_clusters, track_ctss, track_links
 from .plans.overlaps import overlapping, score_overlaps
-from .plans.ranges import coverage, intersect_ranges, reduce_ranges, setdiff_ranges
-from .sources.convert import ranges_to_positions
+from .plans.ranges import coverage, intersect_ranges, reduce_ranges, setdiff_ranges, slice_above
+from .plans.settle import new_path, settled
+from .sources.bedgraph import read_bed, write_bed, write_bedgraph
+from .sources.bigwig import write_bigwig
+from .sources.convert import bed_to_bedgraph, bed_to_bigwig, bedgraph_to_bed, bedgraph_to_bigwig, bigwig_to_bed, bigwig_to_bedgraph, ranges_to_positions
+from .sources.ctss import ctss_from_bedgraph, ctss_from_bigwig
 from .streaming.sessions import sessions
 
 WINDOW, THRESHOLD, LINK_DIST, STRETCH_DIST = 51, 0.9, 100, 10
@@ -36,50 +41,37 @@ def _flat(df):
     return _round(flat, "score", *more)
 
 
-_kept: dict = {}
-
-
-def _once(s, d, name, make):
-    """What several queries start from is computed once a session and directory, and cached: positions, clusters, loci."""
-    key = (s.sparkContext.applicationId, d, name)
-    if key not in _kept:
-        made = make()
-        if isinstance(made, Experiment):
-            made = made.with_(features=made.features.persist(), expr=made.expr.persist(), samples=made.samples.persist(), seqinfo=made.seqinfo.persist())
-        else:
-            made = made.persist()
-        _kept[key] = made
-    return _kept[key]
-
-
 def _pooled(s, d):
-    return _once(s, d, "pooled", lambda: pooled(fixtures.ctss(s, d)))
+    """Normalised and pooled positions; a query that starts from them writes them once and reads them back."""
+    exp = pooled(fixtures.ctss(s, d))
+    return exp.with_(features=settled(exp.features))
 
 
 def _clusters(s, d):
     exp = _pooled(s, d)
-    return exp, _once(s, d, "clusters", lambda: cluster_unidirectionally(exp))
+    return exp, settled(cluster_unidirectionally(exp))
 
 
 def _quantified(s, d):
     exp, tcs = _clusters(s, d)
-    return _once(s, d, "quantified", lambda: quantify_clusters(exp, tcs))
+    exp = quantify_clusters(exp, tcs)
+    return exp.with_(expr=settled(exp.expr))
 
 
 def _with_genes(s, d):
     exp = _quantified(s, d)
-    return _once(s, d, "genes", lambda: assign_gene_id(exp, fixtures.genes(s, d), exp.seqinfo, upstream=0, downstream=0))
+    return assign_gene_id(exp, fixtures.genes(s, d), exp.seqinfo, upstream=0, downstream=0)
 
 
 def _in_genes(s, d):
     exp = _with_genes(s, d)
-    kept = exp.features.filter("geneID IS NOT NULL")
+    kept = settled(exp.features.filter("geneID IS NOT NULL"))
     return exp.with_(features=kept, expr=exp.expr.join(kept.select("feature_id"), "feature_id", "left_semi"))
 
 
 def _loci(s, d):
     exp = _pooled(s, d)
-    return exp, _once(s, d, "loci", lambda: cluster_bidirectionally(exp, exp.seqinfo, WINDOW, THRESHOLD))
+    return exp, settled(cluster_bidirectionally(exp, exp.seqinfo, WINDOW, THRESHOLD))
 
 
 def total_tags(s, d):
@@ -100,7 +92,7 @@ def support(s, d):
 
 def support_negative(s, d):
     """Absent rows count, too: every position has the support of all samples."""
-    return calc_support(fixtures.ctss(s, d), unexpressed=-1).features.groupBy("support").agg(F.count(F.lit(1)).alias("n"))
+    return calc_support(fixtures.ctss(s, d), unexpressed=-1).features.select("seqname", "start", "strand", "support")
 
 
 def subset_support(s, d):
@@ -131,6 +123,10 @@ def tune_thresholds(s, d):
     return _round(tune_tag_clustering(_pooled(s, d), steps=5, merge_dist=20), "threshold")
 
 
+def tune_exponential(s, d):
+    return _round(tune_tag_clustering(_pooled(s, d), steps=4, merge_dist=20, method="exponential", max_exponent=6), "threshold")
+
+
 def quantify_tag_clusters(s, d):
     return _quantified(s, d).expr.select("feature_id", "sample", F.col("counts").cast("long").alias("counts"))
 
@@ -173,7 +169,7 @@ def tx_type(s, d):
 def tx_type_swapped(s, d):
     exp, tcs = _clusters(s, d)
     models = simplify_models(fixtures.transcripts(s, d), exp.seqinfo, detailed_antisense=True)
-    return assign_tx_type(tcs, models, swap="thick").groupBy("txType").agg(F.count(F.lit(1)).alias("n"))
+    return assign_tx_type(tcs, models, swap="thick").select("feature_id", "txType")
 
 
 def gene_id(s, d):
@@ -193,7 +189,23 @@ def tx_id(s, d):
 
 def tx_id_models(s, d):
     exp, tcs = _clusters(s, d)
-    return assign_tx_id_from_models(tcs, fixtures.transcripts(s, d), exp.seqinfo, upstream=100).select("feature_id", F.coalesce(F.size(F.split("txID", ";")), F.lit(0)).alias("n"))
+    return assign_tx_id_from_models(tcs, fixtures.transcripts(s, d), exp.seqinfo, upstream=100).select("feature_id", "txID")
+
+
+def tx_id_swapped(s, d):
+    exp, tcs = _clusters(s, d)
+    return assign_tx_id_from_models(tcs, fixtures.transcripts(s, d), exp.seqinfo, swap="thick").select("feature_id", "txID")
+
+
+def tx_id_compat(s, d):
+    """In the compatible way the interval column is left out of account."""
+    exp, tcs = _clusters(s, d)
+    return assign_tx_id_from_models(tcs, fixtures.transcripts(s, d), exp.seqinfo, swap="thick", upstream=100, compat=True).select("feature_id", "txID")
+
+
+def gene_id_models(s, d):
+    exp, tcs = _clusters(s, d)
+    return assign_gene_id_from_models(tcs, fixtures.transcripts(s, d), exp.seqinfo, upstream=300, downstream=50).select("feature_id", "geneID")
 
 
 def missing_id(s, d):
@@ -206,6 +218,20 @@ def combined_clusters(s, d):
     return _round(combine_clusters(_quantified(s, d), quantify_clusters(exp, loci), "object1").features.select("feature_id", "seqname", "start", "end", "strand", "score"), "score")
 
 
+def _combined(s, d, remove):
+    exp, loci = _loci(s, d)
+    tcs = cluster_unidirectionally(exp)
+    return _round(combine_clusters(tcs.drop("balance"), loci, remove).select("feature_id", "seqname", "start", "end", "strand", "score"), "score")
+
+
+def combined_right(s, d):
+    return _combined(s, d, "object2")
+
+
+def combined_all(s, d):
+    return _combined(s, d, "none")
+
+
 def swapped_ranges(s, d):
     return swap_ranges(_clusters(s, d)[1], "thick", "whole").select("feature_id", "start", "end", F.col("whole.start").alias("whole_start"), F.col("whole.end").alias("whole_end"))
 
@@ -219,10 +245,25 @@ def bidir_regions(s, d):
     return bidirectional_regions(exp, exp.seqinfo, WINDOW).select("seqname", "start", "end")
 
 
+def _by_base(segments):
+    return _round(segments.withColumn("pos", F.explode(F.sequence("start", "end"))).select("seqname", "pos", F.col("PD").alias("pd"), F.col("MD").alias("md"), F.col("PU").alias("pu"), F.col("MU").alias("mu"), "balance"), "pd", "md", "pu", "mu", "balance")
+
+
 def balance_bases(s, d):
+    """All bases with signal in a window."""
     exp = _pooled(s, d)
-    over = balance_segments(exp, exp.seqinfo, WINDOW).filter("balance > 0.8")
-    return _round(over.withColumn("pos", F.explode(F.sequence("start", "end"))).select("seqname", "pos", F.col("PD").alias("pd"), F.col("MD").alias("md"), F.col("PU").alias("pu"), F.col("MU").alias("mu"), "balance"), "pd", "md", "pu", "mu", "balance")
+    return _by_base(balance_segments(exp, exp.seqinfo, WINDOW))
+
+
+def balance_directional(s, d):
+    """Directionality in place of the Bhattacharyya coefficient."""
+    exp = _pooled(s, d)
+    return _round(cluster_bidirectionally(exp, exp.seqinfo, WINDOW, 0.8, balance_d).select("feature_id", "seqname", "start", "end", "balance"), "balance")
+
+
+def tracks_balance(s, d):
+    exp = _pooled(s, d)
+    return _by_base(track_balance(exp, exp.seqinfo, WINDOW))
 
 
 def bidir_clusters(s, d):
@@ -315,12 +356,80 @@ def genome_tiles(s, d):
 
 
 def expanded_ranges(s, d):
-    genes = fixtures.genes(s, d).filter("end - start < 200")
-    return ranges_to_positions(genes).groupBy("gene_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("total"))
+    return ranges_to_positions(fixtures.genes(s, d)).groupBy("gene_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("total"))
 
 
 def gene_cover(s, d):
-    return coverage(fixtures.genes(s, d).withColumn("w", F.lit(1).cast("long")), "w").filter("value > 1").groupBy("seqname", "strand", "value").agg(F.sum(F.col("end") - F.col("start") + 1).alias("bases"))
+    return coverage(fixtures.genes(s, d).withColumn("w", F.lit(1).cast("long")), "w").withColumn("pos", F.explode(F.sequence("start", "end"))).select("seqname", "strand", "pos", "value")
+
+
+def gene_depth_over(s, d):
+    """Maximal runs of bases in two genes at least."""
+    depth = coverage(fixtures.genes(s, d).withColumn("w", F.lit(1).cast("long")), "w")
+    return slice_above(depth, 1).select("seqname", "strand", "start", "end")
+
+
+def gene_parts(s, d):
+    """Of every gene the part from its third to its tenth base, the gene with flanks, and the strand turned round."""
+    inner, wide = narrow(F.col("start"), 3, 10), extend(F.col("start"), F.col("end"), F.col("strand"), 30, 7)
+    return fixtures.genes(s, d).select("gene_id", inner[0].alias("inner_start"), inner[1].alias("inner_end"), wide[0].alias("wide_start"), wide[1].alias("wide_end"), invert_strand(F.col("strand")).alias("turned"))
+
+
+def genome_tiles_number(s, d):
+    return tiles(fixtures.seqinfo(s, d), n=37).select("seqname", "start", "end")
+
+
+def _by_sample(s, d, write, extension):
+    """Files of both strands for every sample, written from the table."""
+    expr, out = fixtures.ctss(s, d).expr.persist(), {"+": {}, "-": {}}
+    for i in range(1, 8):
+        for strand, name in (("+", "plus"), ("-", "minus")):
+            path = f"{new_path(s)}{extension}"
+            out[strand][f"s{i}"] = path
+            write(expr.filter((F.col("sample") == f"s{i}") & (F.col("strand") == strand)).select("seqname", "start", F.col("start").alias("end"), "strand", F.col("counts").cast("double").alias("score")), path)
+    expr.unpersist()
+    return out["+"], out["-"]
+
+
+def _read_back(exp):
+    return exp.expr.select("seqname", "start", "strand", "sample", F.col("counts").cast("long").alias("counts"))
+
+
+def import_bedgraph(s, d):
+    """The whole table written as bedGraph files and read back."""
+    plus, minus = _by_sample(s, d, write_bedgraph, ".bedGraph")
+    return _read_back(ctss_from_bedgraph(s, plus, minus, fixtures.seqinfo(s, d)))
+
+
+def import_bigwig(s, d):
+    """The whole table written as BigWig files and read back, whole files at a time; the genome is that of the headers."""
+    genome = fixtures.seqinfo(s, d)
+    plus, minus = _by_sample(s, d, lambda df, path: write_bigwig(df, genome, path), ".bw")
+    return _read_back(ctss_from_bigwig(s, plus, minus))
+
+
+def import_bigwig_tiles(s, d):
+    """The same by tiles, with a design and a genome."""
+    genome = fixtures.seqinfo(s, d)
+    plus, minus = _by_sample(s, d, lambda df, path: write_bigwig(df, genome, path), ".bw")
+    return _read_back(ctss_from_bigwig(s, plus, minus, fixtures.samples(s), genome, tile_width=35_000))
+
+
+def converted_formats(s, d):
+    """Pooled counts through every conversion: BED to bedGraph to BigWig to bedGraph to BED to BigWig to BED."""
+    genome = fixtures.seqinfo(s, d)
+    total = fixtures.ctss(s, d).expr.groupBy("seqname", "start", "strand").agg(F.sum("counts").alias("score")).withColumn("end", F.col("start"))
+    bed = [new_path(s) for _ in range(3)]
+    graphs, again, wigs, last = ([f"{new_path(s)}{x}" for _ in "+-"] for x in (".bedGraph", ".bedGraph", ".bw", ".bw"))
+    write_bed(total, bed[0])
+    bed_to_bedgraph(s, bed[0], *graphs)
+    for source, wig, graph in zip(graphs, wigs, again, strict=True):
+        bedgraph_to_bigwig(s, source, wig, genome)
+        bigwig_to_bedgraph(s, wig, graph)
+    bedgraph_to_bed(s, *again, bed[1])
+    bed_to_bigwig(s, bed[1], *last, genome)
+    bigwig_to_bed(s, *last, bed[2])
+    return read_bed(s, bed[2]).select("seqname", "start", "end", "strand", F.col("score").cast("long").alias("score"))
 
 
 def reduced_genes(s, d):
@@ -339,7 +448,7 @@ def genes_without_exons(s, d):
 
 def quick_tss_counts(s, d):
     exp = quick_tss(fixtures.ctss(s, d))
-    return exp.expr.groupBy("sample").agg(F.sum("counts").cast("long").alias("counts"), F.count(F.lit(1)).alias("values"))
+    return exp.expr.select("feature_id", "sample", F.col("counts").cast("long").alias("counts"))
 
 
 def quick_enhancer_counts(s, d):
@@ -354,16 +463,16 @@ def quick_gene_counts(s, d):
 
 def event_sessions(s, d):
     found = sessions(s.read.parquet(f"{d}/events.parquet").withColumn("one", F.lit(1)), "ts", "user_id", "30 minutes", "1 hour", "one")
-    return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events"))
+    return found.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"), "n")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        total_tags, tpm, pooled_scores, support, support_negative, subset_support, composition, subset_composition, tag_clusters, tag_clusters_cutoff, cluster_widths, tune_thresholds, quantify_tag_clusters, quantify_dense,
-        quantified_genes, aggregated_rows, overlap_scores, clusters_in_genes, clusters_outside_genes, tx_type, tx_type_swapped, gene_id, gene_id_swapped, tx_id, tx_id_models, missing_id, combined_clusters, swapped_ranges,
-        swapped_scores, bidir_regions, balance_bases, bidir_clusters, bidirectional_samples, shape_iqrs, shape_entropies, shape_means, shape_modes, trim_symmetric, trim_asymmetric, trim_peak, stretches, stretches_cor, links,
-        links_directional, links_cor, links_kendall, tracks_ctss, tracks_clusters, tracks_links, genome_tiles, expanded_ranges, gene_cover, reduced_genes, antisense_genes, genes_without_exons, quick_tss_counts,
+        total_tags, tpm, pooled_scores, support, support_negative, subset_support, composition, subset_composition, tag_clusters, tag_clusters_cutoff, cluster_widths, tune_thresholds, tune_exponential, quantify_tag_clusters, quantify_dense,
+        quantified_genes, aggregated_rows, overlap_scores, clusters_in_genes, clusters_outside_genes, tx_type, tx_type_swapped, gene_id, gene_id_swapped, tx_id, tx_id_models, tx_id_swapped, tx_id_compat, gene_id_models, missing_id, combined_clusters, combined_right, combined_all, swapped_ranges,
+        swapped_scores, bidir_regions, balance_bases, balance_directional, bidir_clusters, bidirectional_samples, shape_iqrs, shape_entropies, shape_means, shape_modes, trim_symmetric, trim_asymmetric, trim_peak, stretches, stretches_cor, links,
+        links_directional, links_cor, links_kendall, tracks_ctss, tracks_balance, tracks_clusters, tracks_links, genome_tiles, genome_tiles_number, expanded_ranges, gene_cover, gene_depth_over, gene_parts, import_bedgraph, import_bigwig, import_bigwig_tiles, converted_formats, reduced_genes, antisense_genes, genes_without_exons, quick_tss_counts,
         quick_enhancer_counts, quick_gene_counts, event_sessions,
     )
 }

@@ -177,10 +177,10 @@ SCHEMA = "seqname string, start long, end long, score double, path string"
 
 @dataclass
 class Tile(InputPartition):
+    """Parts (chromosome, low, high) of a file, or all of it."""
+
     path: str
-    chrom: str | None
-    low: int
-    high: int
+    parts: list | None
 
 
 class BigWigReader(DataSourceReader):
@@ -192,26 +192,34 @@ class BigWigReader(DataSourceReader):
         self.chroms: set[str] | None = None
 
     def partitions(self):
+        """A whole file each, or tiles of one width; what is left of sequences shorter than a tile shares one."""
         out = []
         for p in self.paths:
             lengths = {n: size for n, (_, size) in BigWig(p).header.chromosomes.items()}
             names = [n for n in lengths if self.chroms is None or n in self.chroms]
-            if self.tile:
-                out += [Tile(p, n, low, min(low + self.tile, lengths[n])) for n in names for low in range(0, lengths[n], self.tile)]
-            elif self.chroms is None:
-                out.append(Tile(p, None, 0, 0))
-            else:
-                out += [Tile(p, n, 0, lengths[n]) for n in names]
+            if not self.tile:
+                out.append(Tile(p, None if self.chroms is None else [(n, 0, lengths[n]) for n in names]))
+                continue
+            held: list = []
+            for n in names:
+                for low in range(0, lengths[n], self.tile):
+                    held.append((n, low, min(low + self.tile, lengths[n])))
+                    if sum(high - low for _, low, high in held) >= self.tile:
+                        out.append(Tile(p, held))
+                        held = []
+            if held:
+                out.append(Tile(p, held))
         return out
 
     def read(self, partition: Tile):
         file = BigWig(partition.path)
-        if partition.chrom is None:
-            records = file.records(file.blocks())
-        else:
-            span = (partition.low, partition.high)
-            found = file.records(file.blocks({file.header.chromosomes[partition.chrom][0]}, span))
-            records = (r for r in found if r[0] == partition.chrom and span[0] <= r[1] < span[1])  # a range belongs to the tile it begins in
+
+        def within(part):
+            name, low, high = part
+            found = file.records(file.blocks({file.header.chromosomes[name][0]}, (low, high)))
+            return (r for r in found if r[0] == name and low <= r[1] < high)  # a range belongs to the tile it begins in
+
+        records = file.records(file.blocks()) if partition.parts is None else (r for part in partition.parts for r in within(part))
         rows: list = []
         for r in records:
             rows.append(r)
