@@ -694,3 +694,37 @@ def test_pipeline_stages(spark, tmp_path):
     assert clean - {1} <= set(ids) and 1 not in ids and 800 in ids  # of equal texts the last stays
     assert 801 not in ids and 802 not in ids and not {i for i in ids if i < 600 and i % 3 == 0}
     assert all(r.lossless for r in ids.values())
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Null ids and texts, a row given twice, a very long text, clashing columns; then no rows at all."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = documents(spark)
+    spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(3)[20:]), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and stage(spark, empty(spark), str(tmp_path)).count() == 0
+        left[name] = sorted(str(r.doc_id) for r in got.collect())
+    everything = sorted(str(r.doc_id) for r in docs.select("doc_id").collect())
+    without = lambda *gone: sorted(x for x in everything if x not in gone)
+    assert left["quality classifier"] == everything
+    assert left["exact dedup"] == without("1", "4")
+    assert left["n-gram Jaccard join"] == without("2", "3")
+    assert left["benchmark decontamination"] == without("9")
+    assert pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).filter("lossless").count() == len(everything)
+    assert pipeline.STAGES[-1][1](spark, empty(spark), str(tmp_path)).count() == 0
+
+
+def test_long_repeated_and_clashing_rows(spark):
+    """Operators whose other tests have no very long text, repeated rows or columns named like their own."""
+    docs = documents(spark).withColumn("score", F.lit("q")).withColumn("bands", F.lit("q"))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, prose(2, 20_000)[70_000:70_200])], "item_id long, text string")
+    for got in (quality.score_quality(docs, labels), toxicity.score_toxicity(docs, labels), jaccard_join.jaccard_join(docs), repeats.remove_repeats(docs), secret_scan.find_secrets(docs), exact_dedup.exact_dedup(docs)):
+        ids = [r.doc_id for r in got.collect()]
+        assert len(ids) == 12 and ids.count(9) == 2 and ids.count(None) == 1
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench).collect()} == {(7, 1)}
+    for score in (quality.score_quality, toxicity.score_toxicity):
+        assert score(docs.limit(0), labels).count() == 0

@@ -45,10 +45,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clean_up() -> None:
-    """Delete every intermediate table this process wrote; call it once results are stored."""
-    while _written:
-        spark, path = _written.pop()
+def tables_written() -> int:
+    return len(_written)
+
+
+def clean_up(first: int = 0, keep: int = 0) -> None:
+    """Delete the intermediate tables this process wrote, from the `first` on and but for the last `keep`; call it once
+    what was computed from them is stored."""
+    gone = _written[first : len(_written) - keep]
+    del _written[first : len(_written) - keep]
+    for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
