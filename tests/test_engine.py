@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import struct
 import warnings
 
 import numpy as np
@@ -245,6 +246,59 @@ def test_bam_five_prime_ends(spark, tmp_path):
     assert sorted((r.start, r.strand, r.score) for r in got.collect()) == [(10, "+", 1), (119, "-", 1)]
 
 
+def indexed(path):
+    """An index with the places of some alignments, and beside them a bin of numbers."""
+    stream = bam.Stream(str(path))
+    bam.names_of(stream)
+    at = []
+    while True:
+        at.append(stream.tell())
+        if not (size := stream.take(4)):
+            break
+        stream.take(struct.unpack("<i", size)[0])
+    at = at[:-1:50]
+    bins = struct.pack("<Ii", 4681, 1) + struct.pack("<QQ", at[0], at[-1]) + struct.pack("<Ii", 37450, 2) + struct.pack("<4Q", 1 << 40, 2, 3, 4)
+    return b"BAI\1" + struct.pack("<i", 1) + struct.pack("<i", 2) + bins + struct.pack("<i", len(at)) + struct.pack(f"<{len(at)}Q", *at), at
+
+
+def test_bam_split_by_its_index(spark, tmp_path):
+    """Pieces of a file hold every read once, also those that lie across blocks."""
+    rng = random.Random(5)
+    reads = [("chr1", i // 3 + 1, f"{rng.randint(1, 30)}M", rng.choice("+-")) for i in range(20_000)]
+    path = tmp_path / "x.bam"
+    path.write_bytes(bam.bam_bytes(reads, {"chr1": 10_000}))
+    whole = [r[:4] for r in bam.alignments(str(path))]
+    assert whole == [(c, a, a + int(n[:-1]) - 1, s) for c, a, n, s in reads]
+    assert len(bam.pieces(str(path), 1)) == 1
+    raw, at = indexed(path)
+    (tmp_path / "x.bam.bai").write_bytes(raw)
+    assert bam.indexed_offsets(raw) == at
+    parts = bam.pieces(str(path), 1)
+    assert len(parts) > 5 and [r[:4] for p in parts for r in bam.alignments(p.path, p.low, p.high)] == whole
+    got = bam.read_bam(spark, str(path), split=1)
+    assert got.rdd.getNumPartitions() == len(parts)
+    assert sorted((r.seqname, r.start, r.end, r.strand) for r in got.filter("quality >= 60 AND flag IN (0, 16)").collect()) == sorted(whole)
+    path.write_bytes(path.read_bytes()[:-5])
+    with pytest.raises(ValueError, match="ends within"):
+        list(bam.alignments(str(path)))
+
+
+def test_bigwig_of_many_tasks(spark, tmp_path):
+    """Sections packed by many tasks make the same file as one task's, and an empty table an empty file."""
+    rng = random.Random(6)
+    lengths = {"a": 200_000, "b": 90_000, "c": 10}
+    rows = [(c, p, p, "+", float(rng.randint(1, 9))) for c in "ab" for p in sorted(rng.sample(range(1, lengths[c]), 30_000))]
+    df = spark.createDataFrame(rows, "seqname string, start long, end long, strand string, score double").repartition(7)
+    seqinfo = genomes.make_seqinfo(spark, lengths)
+    bigwig.write_bigwig(df, seqinfo, f"{tmp_path}/x.bw")
+    file = bigwig.BigWig(f"{tmp_path}/x.bw")
+    assert list(file.records(file.blocks())) == [(c, a - 1, b, v) for c, a, b, _, v in rows]
+    assert {r[0] for r in file.records(file.blocks({1}))} == {"b"}
+    bigwig.write_bigwig(df.filter("seqname = 'c'"), seqinfo, f"{tmp_path}/none.bw")
+    none = bigwig.BigWig(f"{tmp_path}/none.bw")
+    assert list(none.records(none.blocks())) == [] and list(none.header.chromosomes) == ["a", "b", "c"]
+
+
 def test_checks(spark):
     df = spark.createDataFrame([("c", 1, 1, "+", 2.0), ("c", 1, 1, "+", 2.0)], "seqname string, start long, end long, strand string, score double")
     with pytest.raises(ValueError, match="more than once"):

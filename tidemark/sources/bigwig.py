@@ -12,10 +12,15 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
+from ..plans.settle import settled
+
 # fixed values of the format
 MAGIC, CHROM_MAGIC, INDEX_MAGIC = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
 HEADER, SUMMARY, SECTION = "<IHHQQQHHQQIQ", "<Qdddd", "<IIIIIBBH"
@@ -110,66 +115,111 @@ class BigWig:
                 raise ValueError(f"{self.path} has a section of unknown kind {kind}")
 
 
-def _tree(entries: list[tuple], base: int) -> bytes:
-    """R-tree nodes over leaf entries (chrom, start, chrom, end, offset, size), the root first."""
+LEAF = np.dtype([("c1", "<u4"), ("b1", "<u4"), ("c2", "<u4"), ("b2", "<u4"), ("at", "<u8"), ("size", "<u8")])
+INNER = np.dtype(LEAF.descr[:-1])
+
+
+def _tree(entries: np.ndarray, base: int) -> bytes:
+    """R-tree nodes over leaf entries, the root first."""
     levels = [entries]
-    while len(levels[-1]) > FAN_OUT:
-        low = levels[-1]
-        levels.append([(low[i][0], low[i][1], *max((e[2], e[3]) for e in low[i : i + FAN_OUT])) for i in range(0, len(low), FAN_OUT)])
-    levels.reverse()
-    out, at = b"", base
+    while len(levels[0]) > FAN_OUT:
+        low, first = levels[0], np.arange(0, len(levels[0]), FAN_OUT)
+        far = np.maximum.reduceat(low["c2"].astype(np.uint64) << np.uint64(32) | low["b2"].astype(np.uint64), first)
+        up = np.zeros(len(first), INNER)
+        up["c1"], up["b1"], up["c2"], up["b2"] = low["c1"][first], low["b1"][first], far >> np.uint64(32), far & np.uint64(0xFFFFFFFF)
+        levels.insert(0, up)
+    out, at = [], base
     for depth, level in enumerate(levels):
         leaf = depth == len(levels) - 1
-        entry = 32 if leaf else 24
-        nodes = [level[i : i + FAN_OUT] for i in range(0, len(level), FAN_OUT)] or [[]]
-        following = at + len(nodes) * 4 + len(level) * entry
-        below = 0
-        for node in nodes:
-            out += struct.pack("<BBH", leaf, 0, len(node))
-            for e in node:
-                if leaf:
-                    out += struct.pack("<IIIIQQ", *e)
+        starts = range(0, max(1, len(level)), FAN_OUT)
+        at += 4 * len(starts) + level.nbytes
+        if not leaf:  # a child holds FAN_OUT entries but for the last
+            child = 4 + FAN_OUT * levels[depth + 1].itemsize
+            level["at"] = at + np.arange(len(level)) * child
+        for i in starts:
+            node = level[i : i + FAN_OUT]
+            out += [struct.pack("<BBH", leaf, 0, len(node)), node.tobytes()]
+    return b"".join(out)
+
+
+#: A section: at most ITEMS ranges of a chromosome, packed, with what header and index need to know of it.
+SECTION_ROWS = "chrom int, low long, high long, raw int, bases double, least double, most double, total double, squares double, packed binary"
+
+
+def packed_sections(batches: Iterable[tuple[np.ndarray, ...]]) -> Iterator[tuple]:
+    """Sections of batches of arrays (chromosome's number, start, end, value), 0-based and half-open, sorted by number and start."""
+    item = np.dtype([("a", "<u4"), ("b", "<u4"), ("v", "<f4")])
+
+    def packed(chrom, a, b, v) -> tuple:
+        items = np.empty(len(a), item)
+        items["a"], items["b"], items["v"] = a, b, v
+        raw = struct.pack(SECTION, chrom[0], a[0], b[-1], 0, 0, BEDGRAPH, 0, len(a)) + items.tobytes()
+        n = (b - a).astype(float)
+        return int(chrom[0]), int(a[0]), int(b.max()), len(raw), n.sum(), v.min(), v.max(), (n * v).sum(), (n * v * v).sum(), zlib.compress(raw)
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        rows = [np.concatenate(x) for x in zip(held, batch, strict=True)] if held else list(batch)
+        held = []
+        if not len(rows[0]):
+            continue
+        edges = [0, *(np.flatnonzero(np.diff(rows[0])) + 1).tolist(), len(rows[0])]
+        for low, high in zip(edges, edges[1:], strict=False):
+            for i in range(low, high, ITEMS):
+                part = [x[i : min(i + ITEMS, high)] for x in rows]
+                if high == edges[-1] and len(part[0]) < ITEMS:
+                    held = part  # the next batch may go on with it
                 else:
-                    # a child holds FAN_OUT entries but for the last
-                    child = 4 + FAN_OUT * (32 if depth == len(levels) - 2 else 24)
-                    out += struct.pack("<IIIIQ", *e, following + below * child)
-                    below += 1
-        at = following
-    return out
+                    yield packed(*part)
+    if held:
+        yield packed(*held)
 
 
-def bigwig_bytes(rows: Iterable[tuple[str, int, int, float]], lengths: dict[str, int]) -> bytes:
-    """A BigWig file of rows (chromosome, start, end, value), 0-based and half-open, sorted by the order of `lengths` and start."""
+@dataclass(frozen=True)
+class Totals:
+    """What is known of all sections together."""
+
+    count: int = 0
+    size: int = 0
+    raw: int = 0
+    bases: float = 0.0
+    least: float = 0.0
+    most: float = 0.0
+    total: float = 0.0
+    squares: float = 0.0
+
+
+def bigwig_parts(sections: Iterable[tuple[int, int, int, bytes]], known: Totals, lengths: dict[str, int]) -> Iterator[bytes]:
+    """A file, part by part, of sections (chromosome's number, low, high, packed) in order; only index entries are held."""
     names = sorted(lengths)
-    number = {n: i for i, n in enumerate(names)}
     key = max([1, *map(len, names)])
     tree_at = 64 + 40
     tree = struct.pack("<IIIIQQ", CHROM_MAGIC, max(1, len(names)), key, 8, len(names), 0) + struct.pack("<BBH", 1, 0, len(names))
-    for n in names:
-        tree += n.encode().ljust(key, b"\0") + struct.pack("<II", number[n], lengths[n])
+    for i, n in enumerate(names):
+        tree += n.encode().ljust(key, b"\0") + struct.pack("<II", i, lengths[n])
     data_at = tree_at + len(tree)
-    ordered = sorted((number[c], a, b, v) for c, a, b, v in rows)
-    sections: list[list] = []
-    for r in ordered:
-        if not sections or sections[-1][0][0] != r[0] or len(sections[-1]) == ITEMS:
-            sections.append([])
-        sections[-1].append(r)
-    data, entries, largest, at = [struct.pack("<Q", len(sections))], [], 0, data_at + 8
-    for s in sections:
-        raw = struct.pack(SECTION, s[0][0], s[0][1], s[-1][2], 0, 0, BEDGRAPH, 0, len(s)) + b"".join(struct.pack("<IIf", a, b, v) for _, a, b, v in s)
-        largest = max(largest, len(raw))
-        packed = zlib.compress(raw)
-        entries.append((s[0][0], s[0][1], s[0][0], s[-1][2], at, len(packed)))
-        data.append(packed)
+    index_at = data_at + 8 + known.size
+    yield struct.pack(HEADER, MAGIC, 4, 0, tree_at, data_at, index_at, 0, 0, 0, 64, known.raw, 0)
+    yield struct.pack(SUMMARY, int(known.bases), known.least, known.most, known.total, known.squares)
+    yield tree + struct.pack("<Q", known.count)
+    entries, at = np.zeros(known.count, LEAF), data_at + 8
+    for i, (chrom, low, high, packed) in enumerate(sections):
+        entries[i] = chrom, low, chrom, high, at, len(packed)
         at += len(packed)
-    ends = (entries[0][0], entries[0][1], entries[-1][2], entries[-1][3]) if entries else (0, 0, 0, 0)
-    index = struct.pack("<IIQIIIIQII", INDEX_MAGIC, FAN_OUT, len(entries), *ends, at, ITEMS, 0)
-    index += _tree(entries, at + 48)
-    bases = [(b - a, v) for _, a, b, v in ordered]
-    values = [v for _, v in bases] or [0.0]
-    summary = struct.pack(SUMMARY, sum(n for n, _ in bases), min(values), max(values), sum(n * v for n, v in bases), sum(n * v * v for n, v in bases))
-    header = struct.pack(HEADER, MAGIC, 4, 0, tree_at, data_at, at, 0, 0, 0, 64, largest, 0)
-    return header + summary + tree + b"".join(data) + index
+        yield packed
+    if at != index_at:
+        raise ValueError("sections are missing")
+    ends = (*entries[0].item()[:2], *entries[-1].item()[2:4]) if known.count else (0, 0, 0, 0)
+    yield struct.pack("<IIQIIIIQII", INDEX_MAGIC, FAN_OUT, known.count, *ends, index_at, ITEMS, 0) + _tree(entries, index_at + 48)
+
+
+def bigwig_bytes(rows: Iterable[tuple[str, int, int, float]], lengths: dict[str, int]) -> bytes:
+    """A small file of rows (chromosome, start, end, value), 0-based and half-open."""
+    number = {n: i for i, n in enumerate(sorted(lengths))}
+    ordered = sorted((number[c], a, b, v) for c, a, b, v in rows)
+    found = list(packed_sections([tuple(np.array(x) for x in zip(*ordered, strict=True))])) if ordered else []
+    known = Totals(len(found), sum(len(s[-1]) for s in found), max(s[3] for s in found), sum(s[4] for s in found), min(s[5] for s in found), max(s[6] for s in found), sum(s[7] for s in found), sum(s[8] for s in found)) if found else Totals()
+    return b"".join(bigwig_parts([(*s[:3], s[-1]) for s in found], known, lengths))
 
 
 SCHEMA = "seqname string, start long, end long, score double, path string"
@@ -265,8 +315,6 @@ class BigWigSource(DataSource):
 
 def read_bigwig(spark, paths: str | list[str], strand: str, tile_width: int | None = None):
     """seqname, start, end, strand, score and path of BigWig files."""
-    from pyspark.sql import functions as F
-
     spark.dataSource.register(BigWigSource)
     reader = spark.read.format("bigwig").option("path", paths if isinstance(paths, str) else ",".join(paths))
     # Spark hands filters to Python sources only where the session allows it
@@ -278,17 +326,34 @@ def read_bigwig(spark, paths: str | list[str], strand: str, tile_width: int | No
 def write_bigwig(df, seqinfo, path: str) -> None:
     """Write ranges with scores as one BigWig file.
 
-    The format is one sorted file with a global index, so one task builds it; write many samples side by side, one file each.
+    Tasks sort and pack ranges of the genome into sections; as a file has one index, a last task lines the packed sections up,
+    holding one of them and 32 bytes for each.
     """
     lengths = {r.seqname: int(r.seqlength) for r in seqinfo.select("seqname", "seqlength").collect()}
+    number = {n: i for i, n in enumerate(sorted(lengths))}
+
+    def pack(batches):
+        arrays = ((t["seqname"].map(number.__getitem__).to_numpy(np.int64), t["start"].to_numpy(np.int64) - 1, t["end"].to_numpy(np.int64), t["score"].to_numpy(float)) for t in batches if len(t))
+        for s in packed_sections(arrays):
+            yield pd.DataFrame([s], columns=fields)
+
+    fields = [x.split()[0] for x in SECTION_ROWS.split(", ")]
+    ordered = df.select("seqname", "start", "end", F.col("score").cast("double").alias("score")).repartitionByRange("seqname", "start").sortWithinPartitions("seqname", "start")
+    sections = settled(ordered.mapInPandas(pack, SECTION_ROWS))
+    size = F.sum(F.length("packed"))
+    known = Totals(*sections.agg(F.count(F.lit(1)), size, F.max("raw"), F.sum("bases"), F.min("least"), F.max("most"), F.sum("total"), F.sum("squares")).first())
 
-    def build(batches):
-        rows = [(c, int(a) - 1, int(b), float(v)) for t in batches for c, a, b, v in zip(t["seqname"], t["start"], t["end"], t["score"], strict=True)]
+    def write(found, known) -> None:
         where, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
         with where.open_output_stream(name, compression=None) as out:
-            out.write(bigwig_bytes(rows, lengths))
-        import pandas as pd
+            for part in bigwig_parts(found, known, lengths):
+                out.write(part)
 
-        yield pd.DataFrame({"rows": [len(rows)]})
+    def line_up(batches):
+        write((s for t in batches for s in t.itertuples(index=False, name=None)), known)
+        yield pd.DataFrame({"sections": [known.count]})
 
-    df.select("seqname", "start", "end", "score").coalesce(1).mapInPandas(build, "rows long").collect()
+    if known.count:
+        sections.select("chrom", "low", "high", "packed").repartition(1).sortWithinPartitions("chrom", "low").mapInPandas(line_up, "sections long").collect()
+    else:
+        write((), Totals())
