@@ -404,3 +404,31 @@ def test_peaks_are_centers_of_first_runs_at_edges(spark):
     cut = spark.createDataFrame([("chr1", at - 2, at + 1, "+")], "seqname string, start long, end long, strand string")
     assert cluster.tc_stats(cut, points).first().thick.start == at - 1
     assert [r.thick.start for r in cluster.cluster_unidirectionally(points, merge_dist=0).orderBy("start").collect()] == [at - 2, at - 1, at, at + 1, at + 2, at + 40]
+
+
+def test_strands_and_summaries(spark):
+    exp = small(spark)
+    parts = assay.split_by_strand(exp)
+    assert {k: v.features.count() for k, v in parts.items()} == {"+": 2, "-": 1, "*": 0}
+    assert parts["-"].expr.count() == 1 and {k: v.count() for k, v in assay.split_by_strand(exp.features).items()} == {"+": 2, "-": 1, "*": 0}
+    df = spark.createDataFrame([(1, 10, "a;b", "x"), (4, 4, None, "y"), (6, 7, "b", "y")], "start long, end long, ids string, kind string")
+    assert tuple(assay.id_summary(df, "ids").first()) == (66.67, 2)
+    assert sorted(map(tuple, assay.label_summary(df, "kind").collect())) == [("x", 1, 33.3), ("y", 2, 66.7)]
+    assert tuple(assay.range_summary(df, "start").first()) == (3, 1, 13 / 3, 10, 1, 11 / 3, 6)
+    assert tuple(assay.range_summary(df.filter("false")).first()) == (0, None, None, None)
+
+
+def test_sources_of_conversions_are_checked(spark, tmp_path):
+    seqinfo = genomes.make_seqinfo(spark, {"chr1": 100})
+    with pytest.raises(ValueError, match="can't be read"):
+        convert.bed_to_bigwig(spark, f"{tmp_path}/none.bed", f"{tmp_path}/p.bw", f"{tmp_path}/m.bw", seqinfo)
+    rows = spark.createDataFrame([("chr1", 5, 5, "+", 2.0)], "seqname string, start long, end long, strand string, score double")
+    bedgraph.write_bed(rows, f"{tmp_path}/in.txt")
+    with pytest.warns(UserWarning, match="does not end with"):
+        convert.bed_to_bigwig(spark, f"{tmp_path}/in.txt", f"{tmp_path}/p.wig", f"{tmp_path}/m.bw", seqinfo)
+    (tmp_path / "x.bam").write_bytes(bam.bam_bytes([("chr1", 10, "20M", "+"), ("chr1", 10, "5M", "-")], {"chr1": 100}))
+    assert convert.bam_to_bigwig(spark, f"{tmp_path}/x.bam", f"{tmp_path}/bp.bw", f"{tmp_path}/bm.bw", seqinfo, where="flag = 0") == (1, 1)
+    part = bigwig.bigwig_bytes([("chr1", 4, 5, 2.75)], {"chr1": 100})
+    (tmp_path / "half.bw").write_bytes(part)
+    former = ctss.ctss_from_bigwig_tiles(spark, {"s": f"{tmp_path}/half.bw"}, {"s": f"{tmp_path}/m.bw"}, seqinfo=seqinfo)
+    assert [r.counts for r in former.expr.collect()] == [2]

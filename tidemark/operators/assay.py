@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import CTSS_KEY, Experiment, exact, signal, strand_rank
+from ..model import CTSS_KEY, Experiment, Features, exact, features_of, same_kind, signal, strand_rank
 from ..plans.overlaps import points_in
 from ..plans.tiles import row_index
 
@@ -106,6 +106,11 @@ def subset(exp: Experiment, predicate: Column | str) -> Experiment:
     return exp.with_(features=kept, expr=exp.expr.join(kept.select(*exp.key), list(exp.key), "left_semi"))
 
 
+def split_by_strand(x: Features) -> dict[str, Features]:
+    """Features, and their expression, of each strand; strands without any have empty ones."""
+    return {s: same_kind(x, features_of(x).filter(F.col("strand") == s), narrow=True) for s in ("+", "-", "*")}
+
+
 def complete(exp_features: DataFrame, samples: DataFrame, sums: DataFrame, key: list[str], assay: str) -> DataFrame:
     """A row for every feature and sample, zeros included.  `samples` is the stated list of samples."""
     grid = exp_features.select(*key).withColumn("sample", F.explode(F.array(*[F.lit(r.sample) for r in samples.select("sample").orderBy("sample_rank").collect()])))
@@ -174,6 +179,28 @@ def summary(exp: Experiment) -> DataFrame:
     return joined.withColumn("sparsity", 1.0 - F.col("values") / (F.col("features") * F.col("samples")))
 
 
+def label_summary(features: DataFrame, column: str) -> DataFrame:
+    """Of labels, such as the categories of features: each with its count and percentage."""
+    counted = features.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
+    total = counted.agg(F.sum("count").alias("__all"))  # one row
+    return counted.crossJoin(F.broadcast(total)).select(column, "count", F.round(F.col("count") / F.col("__all") * 100, 1).alias("percentage"))
+
+
+def id_summary(features: DataFrame, column: str) -> DataFrame:
+    """One row: the percentage of features that have ids, and how many ids there are; several ids of a feature are joined by semicolons."""
+    some = F.round(F.count(column) / F.count(F.lit(1)) * 100, 2).alias("percentage")
+    ids = features.select(F.explode(F.split(column, ";")).alias("__id")).agg(F.count_distinct("__id").alias("ids"))
+    return features.agg(some).crossJoin(F.broadcast(ids))  # one row each
+
+
+def range_summary(features: DataFrame, *columns: str) -> DataFrame:
+    """One row: how many ranges, links or stretches there are, the extremes of their widths, and smallest, mean and largest
+    value of the columns."""
+    wide = [("width", F.col("end") - F.col("start") + 1)] if "start" in features.columns else []
+    values = [f(v).alias(f"{name}_{n}") for n, v in [*wide, *((c, F.col(c)) for c in columns)] for name, f in (("min", F.min), ("mean", F.avg), ("max", F.max))]
+    return features.agg(F.count(F.lit(1)).alias("n"), *values)
+
+
 def ctss_experiment(expr: DataFrame, samples: DataFrame, seqinfo: DataFrame) -> Experiment:
     """An experiment over positions from rows (seqname, start, strand, sample, counts)."""
     features = expr.select(*CTSS_KEY).distinct().withColumn("end", F.col("start"))

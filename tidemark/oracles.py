@@ -206,6 +206,8 @@ _SQL = {
     "import_bedgraph": "SELECT seqname, pos AS start, strand, sample, counts FROM ctss",
     "import_bigwig": "SELECT seqname, pos AS start, strand, sample, counts FROM ctss",
     "import_bigwig_tiles": "SELECT seqname, pos AS start, strand, sample, counts FROM ctss",
+    "import_bigwig_former": "SELECT seqname, pos AS start, strand, sample, counts FROM ctss",
+    "import_bam": "SELECT 'chr' || l_suppkey AS seqname, 1 + (l_orderkey*37 + l_partkey*11 + l_linenumber) % 9800 + CASE WHEN l_linestatus = 'O' THEN 0 ELSE 101 + l_partkey % 4 + l_orderkey % 4 END AS start, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, count(*) AS score FROM lineitem WHERE l_partkey % 4 + l_orderkey % 4 >= 3 GROUP BY 1, 2, 3",
     "converted_formats": "SELECT seqname, pos AS start, pos AS \"end\", strand, CAST(sum(counts) AS BIGINT) AS score FROM ctss GROUP BY 1, 2, 4",
     "reduced_genes": "SELECT seqname, strand, min(s) AS start, max(e) AS \"end\" FROM (SELECT *, sum(f) OVER (PARTITION BY seqname, strand ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY seqname, strand ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 < 50 THEN 0 ELSE 1 END AS f FROM genes)) GROUP BY seqname, strand, k",
     "antisense_genes": "SELECT seqname, min(i) AS start, max(i) AS \"end\" FROM (SELECT seqname, i, i - row_number() OVER (PARTITION BY seqname ORDER BY i) AS k FROM (SELECT DISTINCT g.seqname, i FROM genes g JOIN genes h ON g.seqname = h.seqname AND g.strand = '+' AND h.strand = '-' AND g.s <= h.e AND h.s <= g.e, (SELECT unnest(generate_series(1, 10000)) AS i) WHERE i BETWEEN greatest(g.s, h.s) AND least(g.e, h.e))) GROUP BY seqname, k",
@@ -215,4 +217,11 @@ _SQL = {
     "quick_gene_counts": f"SELECT \"geneID\", CAST(sum(counts) AS BIGINT) AS counts FROM counted c JOIN ({nearest_gene(1000, 100, 't.s', 't.e')}) g ON g.feature_id = c.id WHERE \"geneID\" IS NOT NULL GROUP BY 1",
     "event_sessions": "SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events)) GROUP BY user_id, k",
 }
+_SQL |= {
+    "tx_type_summary": f"SELECT \"txType\", count(*) AS count, round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS percentage FROM ({_SQL['tx_type']}) GROUP BY 1",
+    "gene_id_summary": f"SELECT round(count(\"geneID\") * 100.0 / count(*), 2) AS percentage, count(DISTINCT \"geneID\") AS ids FROM ({_SQL['gene_id']})",
+    "tx_id_summary": f"SELECT round(count(\"txID\") * 100.0 / count(*), 2) AS percentage, (SELECT count(DISTINCT id) FROM (SELECT unnest(string_split(\"txID\", ';')) AS id FROM ({_SQL['tx_id']}))) AS ids FROM ({_SQL['tx_id']})",
+    "links_summary": f"SELECT count(*) AS n, min(distance) AS min_distance, round(avg(distance), 6) AS mean_distance, max(distance) AS max_distance FROM ({_SQL['links']})",
+    "stretches_summary": f"SELECT count(*) AS n, min(e - s + 1) AS min_width, round(avg(e - s + 1), 6) AS mean_width, max(e - s + 1) AS max_width, CAST(min(n) AS INT) AS \"min_nClusters\", round(avg(n), 6) AS \"mean_nClusters\", CAST(max(n) AS INT) AS \"max_nClusters\" FROM stretch",
+}
 ORACLE_SQL = {name: with_parts(sql) for name, sql in _SQL.items()}

@@ -26,9 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def new_path(spark: SparkSession) -> str:
+def new_path(spark: SparkSession, extension: str = "") -> str:
     """A path in the shared folder, deleted by `release`."""
-    path = f"{shared_dir(spark)}/tidemark/settled-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark/settled-{uuid.uuid4().hex}{extension}"
     _written.append((spark, path))
     return path
 

@@ -10,7 +10,8 @@ from .functions.intervals import extend, invert_strand, narrow, tiles
 from .model import Experiment
 from .operators.annotate import assign_gene_id, assign_gene_id_from_models, assign_tx_id, assign_tx_id_from_models, assign_tx_type, assign_tx_type_from_models, combine_clusters, simplify_models
 from .operators.assay import (
-    aggregate_rows, assign_missing, calc_composition, calc_pooled, calc_support, calc_total_tags, calc_tpm, quantify_clusters, quantify_genes, subset_by_composition, subset_by_support, swap_ranges, swap_scores, width_summary,
+    aggregate_rows, assign_missing, calc_composition, calc_pooled, calc_support, calc_total_tags, calc_tpm, quantify_clusters, quantify_genes, subset_by_composition, subset_by_support, id_summary, label_summary, range_summary, split_by_strand,
+    swap_ranges, swap_scores, width_summary,
 )
 from .operators.bidirectional import balance_segments, bidirectional_regions, bidirectionality, cluster_bidirectionally
 from .operators.cluster import cluster_unidirectionally, trim_to_peak, trim_to_percentiles, tune_tag_clustering
@@ -21,10 +22,11 @@ from .operators.tracks import track_balance, track_clusters, track_ctss, track_l
 from .plans.overlaps import overlapping, score_overlaps
 from .plans.ranges import coverage, intersect_ranges, reduce_ranges, setdiff_ranges, slice_above
 from .plans.settle import new_path, settled
+from .sources.bam import read_bam, reads_to_ctss, write_bam_parts
 from .sources.bedgraph import read_bed, write_bed, write_bedgraph
 from .sources.bigwig import write_bigwig
 from .sources.convert import bed_to_bedgraph, bed_to_bigwig, bedgraph_to_bed, bedgraph_to_bigwig, bigwig_to_bed, bigwig_to_bedgraph, ranges_to_positions
-from .sources.ctss import ctss_from_bedgraph, ctss_from_bigwig
+from .sources.ctss import ctss_from_bedgraph, ctss_from_bigwig, ctss_from_bigwig_tiles
 from .streaming.sessions import sessions
 
 WINDOW, THRESHOLD, LINK_DIST, STRETCH_DIST = 51, 0.9, 100, 10
@@ -208,6 +210,18 @@ def gene_id_models(s, d):
     return assign_gene_id_from_models(tcs, fixtures.transcripts(s, d), exp.seqinfo, upstream=300, downstream=50).select("feature_id", "geneID")
 
 
+def tx_type_summary(s, d):
+    return label_summary(tx_type(s, d), "txType")
+
+
+def gene_id_summary(s, d):
+    return id_summary(gene_id(s, d), "geneID")
+
+
+def tx_id_summary(s, d):
+    return id_summary(tx_id(s, d), "txID")
+
+
 def missing_id(s, d):
     exp = _with_genes(s, d)
     return assign_missing(exp.features, exp.seqinfo).select("feature_id", "geneID")
@@ -324,6 +338,15 @@ def links(s, d):
     return find_links(_clusters(s, d)[1], LINK_DIST)
 
 
+def links_summary(s, d):
+    return _round(range_summary(links(s, d), "distance"), "mean_distance")
+
+
+def stretches_summary(s, d):
+    found = range_summary(stretches(s, d), "nClusters")
+    return _round(found, "mean_width", "mean_nClusters")
+
+
 def links_directional(s, d):
     tcs = _clusters(s, d)[1].withColumn("kind", F.when(F.col("start") % 2 == 0, "even").otherwise("odd"))
     return find_links(tcs, LINK_DIST, "kind", ("even", "odd"))
@@ -379,14 +402,14 @@ def genome_tiles_number(s, d):
     return tiles(fixtures.seqinfo(s, d), n=37).select("seqname", "start", "end")
 
 
-def _by_sample(s, d, write, extension):
-    """Files of both strands for every sample, written from the table."""
+def _by_sample(s, d, write, extension, more=0.0):
+    """Files of both strands for every sample, written from the table; `more` is added to the counts."""
     expr, out = fixtures.ctss(s, d).expr.persist(), {"+": {}, "-": {}}
     for i in range(1, 8):
         for strand, name in (("+", "plus"), ("-", "minus")):
-            path = f"{new_path(s)}{extension}"
+            path = new_path(s, extension)
             out[strand][f"s{i}"] = path
-            write(expr.filter((F.col("sample") == f"s{i}") & (F.col("strand") == strand)).select("seqname", "start", F.col("start").alias("end"), "strand", F.col("counts").cast("double").alias("score")), path)
+            write(expr.filter((F.col("sample") == f"s{i}") & (F.col("strand") == strand)).select("seqname", "start", F.col("start").alias("end"), "strand", (F.col("counts") + more).cast("double").alias("score")), path)
     expr.unpersist()
     return out["+"], out["-"]
 
@@ -415,12 +438,31 @@ def import_bigwig_tiles(s, d):
     return _read_back(ctss_from_bigwig(s, plus, minus, fixtures.samples(s), genome, tile_width=35_000))
 
 
+def import_bigwig_former(s, d):
+    """The former import of scores that are no whole numbers."""
+    genome = fixtures.seqinfo(s, d)
+    plus, minus = _by_sample(s, d, lambda df, path: write_bigwig(df, genome, path), ".bw", 0.75)
+    return _read_back(ctss_from_bigwig_tiles(s, plus, minus, tile_width=35_000))
+
+
+def import_bam(s, d):
+    """Every line item as a read, written to BAM files and read back; the 5' ends of those of five bases at least."""
+    reads = s.read.parquet(f"{d}/lineitem.parquet").select(
+        F.concat(F.lit("chr"), "l_suppkey").alias("seqname"),
+        (1 + (F.col("l_orderkey") * 37 + F.col("l_partkey") * 11 + F.col("l_linenumber")) % (fixtures.LENGTH - 200)).alias("start"),
+        F.concat(1 + F.col("l_partkey") % 4, F.lit("M100N"), 1 + F.col("l_orderkey") % 4, F.lit("M")).alias("cigar"),
+        F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("strand"),
+    )
+    paths = write_bam_parts(reads, fixtures.seqinfo(s, d), new_path(s))
+    return reads_to_ctss(read_bam(s, paths), min_length=105).select("seqname", "start", "strand", "score")
+
+
 def converted_formats(s, d):
     """Pooled counts through every conversion: BED to bedGraph to BigWig to bedGraph to BED to BigWig to BED."""
     genome = fixtures.seqinfo(s, d)
     total = fixtures.ctss(s, d).expr.groupBy("seqname", "start", "strand").agg(F.sum("counts").alias("score")).withColumn("end", F.col("start"))
-    bed = [new_path(s) for _ in range(3)]
-    graphs, again, wigs, last = ([f"{new_path(s)}{x}" for _ in "+-"] for x in (".bedGraph", ".bedGraph", ".bw", ".bw"))
+    bed = [new_path(s, ".bed") for _ in range(3)]
+    graphs, again, wigs, last = ([new_path(s, x) for _ in "+-"] for x in (".bedGraph", ".bedGraph", ".bw", ".bw"))
     write_bed(total, bed[0])
     bed_to_bedgraph(s, bed[0], *graphs)
     for source, wig, graph in zip(graphs, wigs, again, strict=True):
@@ -437,8 +479,8 @@ def reduced_genes(s, d):
 
 
 def antisense_genes(s, d):
-    genes = fixtures.genes(s, d)
-    return intersect_ranges(genes.filter("strand = '+'"), genes.filter("strand = '-'"))
+    genes = split_by_strand(fixtures.genes(s, d))
+    return intersect_ranges(genes["+"], genes["-"])
 
 
 def genes_without_exons(s, d):
@@ -470,9 +512,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         total_tags, tpm, pooled_scores, support, support_negative, subset_support, composition, subset_composition, tag_clusters, tag_clusters_cutoff, cluster_widths, tune_thresholds, tune_exponential, quantify_tag_clusters, quantify_dense,
-        quantified_genes, aggregated_rows, overlap_scores, clusters_in_genes, clusters_outside_genes, tx_type, tx_type_swapped, gene_id, gene_id_swapped, tx_id, tx_id_models, tx_id_swapped, tx_id_compat, gene_id_models, missing_id, combined_clusters, combined_right, combined_all, swapped_ranges,
+        quantified_genes, aggregated_rows, overlap_scores, clusters_in_genes, clusters_outside_genes, tx_type, tx_type_swapped, gene_id, gene_id_swapped, tx_id, tx_id_models, tx_id_swapped, tx_id_compat, gene_id_models, tx_type_summary, gene_id_summary, tx_id_summary, missing_id, combined_clusters, combined_right, combined_all, swapped_ranges,
         swapped_scores, bidir_regions, balance_bases, balance_directional, bidir_clusters, bidirectional_samples, shape_iqrs, shape_entropies, shape_means, shape_modes, trim_symmetric, trim_asymmetric, trim_peak, stretches, stretches_cor, links,
-        links_directional, links_cor, links_kendall, tracks_ctss, tracks_balance, tracks_clusters, tracks_links, genome_tiles, genome_tiles_number, expanded_ranges, gene_cover, gene_depth_over, gene_parts, import_bedgraph, import_bigwig, import_bigwig_tiles, converted_formats, reduced_genes, antisense_genes, genes_without_exons, quick_tss_counts,
+        links_directional, links_cor, links_kendall, links_summary, stretches_summary, tracks_ctss, tracks_balance, tracks_clusters, tracks_links, genome_tiles, genome_tiles_number, expanded_ranges, gene_cover, gene_depth_over, gene_parts, import_bedgraph, import_bigwig, import_bigwig_tiles, import_bigwig_former, import_bam, converted_formats, reduced_genes, antisense_genes, genes_without_exons, quick_tss_counts,
         quick_enhancer_counts, quick_gene_counts, event_sessions,
     )
 }

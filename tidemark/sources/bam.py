@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -165,22 +168,41 @@ def pieces(path: str, split: int = SPLIT) -> list[Piece]:
 
 def bam_bytes(reads, references: dict[str, int]) -> bytes:
     """A BAM file of reads (reference, start, cigar as text, strand), for tests and exports; sequences are left out."""
-    names = list(references)
-    raw = b"BAM\1" + struct.pack("<ii", 0, len(names))
-    for n in names:
+    number = {n: i for i, n in enumerate(references)}
+    raw = bytearray(b"BAM\1" + struct.pack("<ii", 0, len(number)))
+    for n in number:
         raw += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", references[n])
     for i, (ref, start, cigar, strand) in enumerate(reads):
         ops = [(int(k) << 4) | "MIDNSHP=X".index(o) for k, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
         name = f"r{i}".encode() + b"\0"
-        body = struct.pack("<iiBBHHHiiii", names.index(ref), start - 1, len(name), 60, 0, len(ops), REVERSE if strand == "-" else 0, 0, -1, -1, 0) + name + struct.pack(f"<{len(ops)}I", *ops)
+        body = struct.pack("<iiBBHHHiiii", number[ref], start - 1, len(name), 60, 0, len(ops), REVERSE if strand == "-" else 0, 0, -1, -1, 0) + name + struct.pack(f"<{len(ops)}I", *ops)
         raw += struct.pack("<i", len(body)) + body
-    out = b""
+    out = bytearray()
     for low in range(0, len(raw), 60_000):
         deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
         piece = raw[low : low + 60_000]
         packed = deflate.compress(piece) + deflate.flush()
         out += BGZF + struct.pack("<IBBHBBHH", 0, 0, 255, 6, 66, 67, 2, len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(piece), len(piece))
-    return out
+    return bytes(out)
+
+
+def write_bam_parts(df: DataFrame, seqinfo: DataFrame, folder: str) -> list[str]:
+    """Reads (seqname, start, cigar, strand) as BAM files in a folder, one for each batch of a task; returns their paths.
+
+    A task that runs again writes under new names; only files of finished tasks are returned.
+    """
+    lengths = {r.seqname: int(r.seqlength) for r in seqinfo.select("seqname", "seqlength").collect()}
+
+    def write(batches):
+        for t in batches:
+            path = f"{folder}/{uuid.uuid4().hex}.bam"
+            where, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+            where.create_dir(name.rsplit("/", 1)[0], recursive=True)
+            with where.open_output_stream(name, compression=None) as out:
+                out.write(bam_bytes(t.itertuples(index=False, name=None), lengths))
+            yield pd.DataFrame({"path": [path]})
+
+    return [r.path for r in df.select("seqname", "start", "cigar", "strand").mapInPandas(write, "path string").collect()]
 
 
 class BamReader(DataSourceReader):

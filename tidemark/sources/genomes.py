@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,21 @@ def check_files(paths: dict[str, str] | list[str], extension: str, named: bool =
     return True
 
 
+def check_source(paths: str | list[str], extension: str) -> bool:
+    """Files to convert must exist and be readable; another extension only gives a warning."""
+    paths = [paths] if isinstance(paths, str) else paths
+    check_files(paths, "", named=False)
+    return check_extensions(paths, extension)
+
+
+def check_extensions(paths: list[str], extension: str) -> bool:
+    """Whether all files have the extension; warns of those that do not."""
+    wrong = [p for p in paths if not p.endswith(extension)]
+    for path in wrong:
+        warnings.warn(f"{path} does not end with {extension}", stacklevel=3)
+    return not wrong
+
+
 def check_bigwigs(paths: dict[str, str] | str) -> bool:
     """BigWig files must be valid: named, with the extension .bw, readable, with a readable header."""
     one = isinstance(paths, str)
