@@ -1,10 +1,14 @@
 """Every corpus operator on small texts: brute force, round trips, held-out accuracy, and odd inputs."""
 
 import collections
+import decimal
 import hashlib
+import math
 import os
 import random
+import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -606,6 +610,124 @@ def labelled(spark, bad):
     return docs, labels
 
 
+def isotonic_by_definition(raw, y, weight, low, high, bins):
+    """A monotone map of raw scores: binned rows, each bin drawn to the prior by half a row, fitted by max-min of means."""
+    step, held = (high - low) / bins, collections.defaultdict(lambda: [0.0, 0.0])
+    for r, v, w in zip(raw, y, weight, strict=True):
+        b = int(np.floor((min(high, max(low, r)) - low) / step + 0.5))
+        held[b][0] += w
+        held[b][1] += w * v
+    prior = sum(v for _, v in held.values()) / sum(w for w, _ in held.values())
+    at = sorted(held)
+    w, v = np.array([held[b][0] + 0.5 for b in at]), np.array([held[b][1] + 0.5 * prior for b in at])
+    cw, cv = np.concatenate([[0], np.cumsum(w)]), np.concatenate([[0], np.cumsum(v)])
+    n = len(at)
+    means = np.array([[(cv[b + 1] - cv[a]) / (cw[b + 1] - cw[a]) if b >= a else np.nan for b in range(n)] for a in range(n)])
+    fitted = [max(np.min(means[a, i:]) for a in range(i + 1)) for i in range(n)]
+    x = low + step * np.array(at, dtype=float)
+
+    def score(r):
+        place = np.clip((r - x[0]) / max(x[-1] - x[0], 1e-9), 0, 1)
+        return np.clip(0.999 * np.interp(r, x, fitted) + 0.001 * place, 0, 1)
+
+    return score
+
+
+def tables(spark):
+    """Texts, labels and both operators' folds of a whole table, in plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    folds = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS)), F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(toxicity.FOLDS))).collect()
+    return docs, labels, {r.doc_id: r.text or "" for r in docs.collect()}, {r.doc_id: r for r in labels.collect()}, {r[0]: (r[1], r[2]) for r in folds}
+
+
+def test_quality_equals_brute_force(spark):
+    """Least squares on stacked rows rather than summed normal equations, over a whole table."""
+    docs, labels, texts, marked, folds = tables(spark)
+    ids = sorted(texts)
+    x = np.array([quality.statistics(texts[i]) for i in ids], dtype=float)
+    rng = np.random.default_rng(quality.SEED)
+    w = rng.standard_normal((x.shape[1], quality.FOURIER)) / (quality.WIDTH * np.sqrt(x.shape[1]))
+    b = rng.uniform(0, 2 * np.pi, quality.FOURIER)
+    spread = x.std(0)
+    z = np.clip((x - x.mean(0)) / np.where(spread > 1e-9, spread, 1), -6, 6)
+    f = np.hstack([np.ones((len(z), 1)), np.sqrt(2 / quality.FOURIER) * np.cos(z @ w + b)])
+    penalty = np.diag(np.sqrt([1e-6, *[quality.RIDGE] * quality.FOURIER]))
+    train = [k for k, i in enumerate(ids) if i in marked and marked[i].quality is not None and zlib.crc32(str(i).encode()) % 5]
+    y = np.array([float(marked[ids[k]].quality) for k in train])
+    part = np.array([folds[ids[k]][0] for k in train])
+    fit = lambda keep: np.linalg.lstsq(np.vstack([f[train][keep], penalty]), np.concatenate([y[keep], np.zeros(len(penalty))]), rcond=None)[0]
+    raw = np.zeros(len(train))
+    for k in range(quality.FOLDS):
+        raw[part == k] = f[train][part == k] @ fit(part != k)
+    want = isotonic_by_definition(raw, y, np.ones(len(y)), -0.5, 1.5, 2000)(f @ fit(np.ones(len(y), dtype=bool)))
+    got = {r.doc_id: r for r in quality.score_quality(docs, labels).collect()}
+    assert len(train) > 30 and set(got) == set(ids)
+    assert max(abs(got[i].score - v) for i, v in zip(ids, want, strict=True)) < 0.01
+    assert all(got[i].predicted == (got[i].score >= 0.3) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in ids)
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Counts, log-odds, the law of chance segments and the calibration in plain Python, over a whole table."""
+    docs, labels, texts, marked, folds = tables(spark)
+    n_folds, drift = toxicity.FOLDS, toxicity.DRIFT
+    train = [i for i in sorted(texts) if i in marked and marked[i].toxic in (0, 1) and zlib.crc32(str(i).encode()) % 3 != 1]
+    y, fold = {i: marked[i].toxic for i in train}, {i: folds[i][1] for i in train}
+    tokens = {i: re.findall(r"\w+", t.lower()) for i, t in texts.items()}
+    pieces_of = lambda w: {w, *(w[:n] + "~" for n in (5, 6, 7) if len(w) >= n)}
+    counts = collections.defaultdict(lambda: np.zeros((n_folds, 2)))
+    for i in train:
+        for u in set().union(*map(pieces_of, tokens[i])):
+            counts[u][fold[i], y[i]] += 1
+    sizes = np.zeros((n_folds, 2))
+    for i in train:
+        sizes[fold[i], y[i]] += 1
+
+    half_up = lambda v, n: float(decimal.Decimal(repr(float(v))).quantize(decimal.Decimal(1).scaleb(-n), decimal.ROUND_HALF_UP))
+
+    def odds(c, n):
+        (clean, toxic), (n_clean, n_toxic) = c, n
+        if toxic < toxicity.LEAST_TOXIC:
+            return 0.0
+        prior = min(toxicity.PRIOR, toxicity.PRIOR_SHARE * sum(n))
+        a = prior * (clean + toxic) / sum(n)
+        rate = lambda k, m: math.log((k + a) / max(m + prior - k - a, 0.5))
+        return max(0.0, half_up(rate(toxic, n_toxic) - rate(clean, n_clean) - toxicity.BOUND * math.sqrt(1 / (toxic + a) + 1 / (clean + a)), 3))
+
+    weights = [{u: odds(np.delete(c, k, 0).sum(0), np.delete(sizes, k, 0).sum(0)) for u, c in counts.items()} for k in range(n_folds)]
+    weights.append({u: round(sum(w[u] for w in weights) / n_folds, 3) for u in counts})
+    scored = lambda i, k: [max(weights[k].get(u, 0.0) for u in pieces_of(w)) for w in tokens[i]]
+
+    def distinct(i, k):
+        s = scored(i, k)
+        found = toxicity.segments([(p, v) for p, v in enumerate(s) if v])
+        return list({tuple(tokens[i][a : b + 1]): v for a, b, v in found}.values())
+
+    seen = np.array([half_up(v, 1) or -drift for i in train if y[i] == 0 for v in scored(i, fold[i])])
+    low, high = 1e-6, 50.0
+    for _ in range(80):
+        lam = (low + high) / 2
+        low, high = (lam, high) if np.exp(np.minimum(lam * seen, 600)).mean() < 1 else (low, lam)
+    lam = min(10.0, max(0.05, lam))
+    chance = [lam * max(s) - math.log(len(tokens[i])) for i in train if y[i] == 0 and (s := distinct(i, fold[i]))]
+    k_law = math.exp(np.mean(chance) - 0.5772156649)
+
+    def value(i, k):
+        x = sorted((lam * s - math.log(k_law * len(tokens[i])) for s in distinct(i, k)), reverse=True)
+        if not x:
+            return -20.0
+        tries = [x[0]]
+        for r in range(2, len([v for v in x if v > 1]) + 1):
+            t = sum(x[:r])
+            tries.append(t - (r - 1) * math.log(t) + math.log(math.factorial(r)) + math.log(math.factorial(r - 1)) - math.log(r + 1))
+        return min(60.0, max(-20.0, *tries))
+
+    scale = isotonic_by_definition([value(i, fold[i]) for i in train], [y[i] for i in train], [1.0] * len(train), -20.0, 60.0, 800)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert sum(y.values()) >= 3 and set(got) == set(texts) and any(max(w.values()) > 0 for w in weights)
+    assert max(abs(got[i].score - float(scale(value(i, n_folds)))) for i in texts) < 0.01
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = labelled(spark, lambda i: "*** ".join(prose(i, 80).split()))
     labels = labels.withColumn("quality", 1 - F.col("y"))
