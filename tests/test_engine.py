@@ -283,6 +283,26 @@ def test_bam_split_by_its_index(spark, tmp_path):
         list(bam.alignments(str(path)))
 
 
+def test_bigwig_of_many_sequences(tmp_path, monkeypatch):
+    lengths = {f"s{i}": 50 for i in range(70_000)}  # more names than one node can count
+    rows = [(f"s{i}", 7, 8, 1.0) for i in range(0, 70_000, 7)]
+    (tmp_path / "x.bw").write_bytes(bigwig.bigwig_bytes(rows, lengths))
+    file = bigwig.BigWig(str(tmp_path / "x.bw"))
+    assert file.header.chromosomes == {n: (i, 50) for i, n in enumerate(sorted(lengths))}
+    reader = bigwig.BigWigReader({"path": str(tmp_path / "x.bw"), "tileWidth": "20"})
+    assert len(reader.partitions()) == 1  # tasks follow the data, not the number of sequences
+    monkeypatch.setattr(bigwig, "TASK_BYTES", 1 << 16)
+    parts = reader.partitions()
+    got = [tuple(r) for part in parts for batch in reader.read(part) for r in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)]
+    assert len(parts) > 3 and sorted(got) == sorted((n, a + 1, b, v) for n, a, b, v in rows)
+    dense = [("c", i * 3, i * 3 + 1, float(i % 7)) for i in range(300_000)]
+    (tmp_path / "y.bw").write_bytes(bigwig.bigwig_bytes(dense, {"c": 1_000_000}))
+    reader = bigwig.BigWigReader({"path": str(tmp_path / "y.bw"), "tileWidth": "1000"})
+    parts = reader.partitions()
+    assert len(parts) > 3 and all(p.low is None or p.low[1] % 1000 == 0 for p in parts)
+    assert sum((batch.column(1).to_pylist() for p in parts for batch in reader.read(p)), []) == [a + 1 for _, a, _, _ in dense]
+
+
 def test_bigwig_of_many_tasks(spark, tmp_path):
     """Sections packed by many tasks make the same file as one task's, and an empty table an empty file."""
     rng = random.Random(6)

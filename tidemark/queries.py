@@ -406,13 +406,12 @@ def genome_tiles_number(s, d):
 
 def _by_sample(s, d, write, extension, more=0.0):
     """Files of both strands for every sample, written from the table; `more` is added to the counts."""
-    expr, out = fixtures.ctss(s, d).expr.persist(), {"+": {}, "-": {}}
+    expr, out = settled(fixtures.ctss(s, d).expr), {"+": {}, "-": {}}
     for i in range(1, 8):
         for strand, name in (("+", "plus"), ("-", "minus")):
             path = new_path(s, extension)
             out[strand][f"s{i}"] = path
             write(expr.filter((F.col("sample") == f"s{i}") & (F.col("strand") == strand)).select("seqname", "start", F.col("start").alias("end"), "strand", (F.col("counts") + more).cast("double").alias("score")), path)
-    expr.unpersist()
     return out["+"], out["-"]
 
 

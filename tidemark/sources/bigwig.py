@@ -11,6 +11,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ MAGIC, CHROM_MAGIC, INDEX_MAGIC = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
 HEADER, SUMMARY, SECTION = "<IHHQQQHHQQIQ", "<Qdddd", "<IIIIIBBH"
 BEDGRAPH, VARIABLE, FIXED = 1, 2, 3
 ITEMS, FAN_OUT = 1024, 256
+#: Packed bytes that a task reads, about; rows in a batch; sections in a batch that is written.
+TASK_BYTES, BATCH, SECTIONS = 1 << 22, 50_000, 2000
 
 
 def opened(path: str):
@@ -38,6 +41,7 @@ def opened(path: str):
 class Header:
     order: str
     chromosomes: dict[str, tuple[int, int]]  # name: number, length
+    data: int
     index: int
     packed: int
 
@@ -47,10 +51,10 @@ class BigWig:
         self.path, self.file = path, opened(path)
         raw = self._read(0, 64)
         order = "<" if struct.unpack("<I", raw[:4])[0] == MAGIC else ">"
-        magic, _, _, tree, _, index, _, _, _, _, packed, _ = struct.unpack(order + HEADER[1:], raw)
+        magic, _, _, tree, data, index, _, _, _, _, packed, _ = struct.unpack(order + HEADER[1:], raw)
         if magic != MAGIC:
             raise ValueError(f"{path} is not a BigWig file")
-        self.header = Header(order, self._names(order, tree), index, packed)
+        self.header = Header(order, self._names(order, tree), data, index, packed)
         self.named = {i: n for n, (i, _) in self.header.chromosomes.items()}
 
     def _read(self, at: int, size: int) -> bytes:
@@ -75,48 +79,69 @@ class BigWig:
                     todo.append(struct.unpack(order + "Q", rest)[0])
         return found
 
-    def blocks(self, wanted: set[int] | None = None, span: tuple[int, int] | None = None) -> list[tuple[int, int]]:
-        """Offset and size of the data blocks that touch the chromosomes, and of one chromosome the bases [low, high)."""
-        order, found, todo = self.header.order, [], [self.header.index + 48]
+    def _node(self, at: int) -> tuple[int, np.ndarray]:
+        """Whether an index node is a leaf, and its entries."""
+        order = self.header.order
+        leaf, _, n = struct.unpack(order + "BBH", self._read(at, 4))
+        kind = (LEAF if leaf else INNER).newbyteorder(order)
+        return leaf, np.frombuffer(self._read(at + 4, n * kind.itemsize), kind)
+
+    def blocks(self, wanted: set[int] | None = None, span: tuple[int, int] | None = None, low: tuple[int, int] | None = None, high: tuple[int, int] | None = None) -> list[tuple[int, int]]:
+        """Offset and size of the data blocks that touch the chromosomes, of one chromosome the bases [low, high) of `span`, and the
+        genome from `low` up to `high`, places of (number, base)."""
+        found, todo = [], [self.header.index + 48]
+        numbers = None if wanted is None else np.array(sorted(wanted), np.int64)
         while todo:
-            leaf, _, n = struct.unpack(order + "BBH", self._read(node := todo.pop(), 4))
-            size = 32 if leaf else 24
-            raw = self._read(node + 4, n * size)
-            for i in range(n):
-                c1, b1, c2, b2, at = struct.unpack(order + "IIIIQ", raw[i * size : i * size + 24])
-                if wanted is not None and not any(c1 <= c <= c2 for c in wanted):
-                    continue
-                if span is not None and c1 == c2 and (b2 <= span[0] or b1 >= span[1]):
-                    continue
-                if leaf:
-                    found.append((at, struct.unpack(order + "Q", raw[i * size + 24 : i * size + 32])[0]))
-                else:
-                    todo.append(at)
+            leaf, rows = self._node(todo.pop())
+            keep = np.ones(len(rows), bool)
+            if low is not None:
+                keep &= (rows["c2"] > low[0]) | ((rows["c2"] == low[0]) & (rows["b2"] > low[1]))
+            if high is not None:
+                keep &= (rows["c1"] < high[0]) | ((rows["c1"] == high[0]) & (rows["b1"] < high[1]))
+            if span is not None:
+                keep &= (rows["c1"] != rows["c2"]) | ((rows["b2"] > span[0]) & (rows["b1"] < span[1]))
+            if numbers is not None:
+                keep &= np.searchsorted(numbers, rows["c1"], "left") < np.searchsorted(numbers, rows["c2"], "right")
+            rows = rows[keep]
+            if leaf:
+                found += zip(rows["at"].tolist(), rows["size"].tolist(), strict=True)
+            else:
+                todo += rows["at"].tolist()
         return sorted(found)
 
-    def records(self, blocks: Iterable[tuple[int, int]]) -> Iterator[tuple[str, int, int, float]]:
-        """Chromosome, start (0-based), end, value."""
+    def splits(self, n: int) -> list[tuple[int, int]]:
+        """Places that part the sections into about `n` equal groups: where nodes of the first level with enough of them begin."""
+        leaf, rows = self._node(self.header.index + 48)
+        while not leaf and len(rows) < n:
+            found = [self._node(at) for at in rows["at"].tolist()]
+            leaf, rows = found[0][0], np.concatenate([r for _, r in found])
+        order = np.lexsort((rows["b1"], rows["c1"]))
+        chosen = rows[order[np.arange(1, n) * len(rows) // n]] if len(rows) else rows
+        return list(zip(chosen["c1"].tolist(), chosen["b1"].tolist(), strict=True))
+
+    def columns(self, blocks: Iterable[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of every block the chromosome's number and arrays of start (0-based), end, value."""
         order = self.header.order
         for at, size in blocks:
             raw = self._read(at, size)
             raw = zlib.decompress(raw) if self.header.packed else raw
             chrom, start, _, step, span, kind, _, n = struct.unpack_from(order + SECTION[1:], raw)
-            name = self.named[chrom]
-            if kind == BEDGRAPH:
-                for a, b, v in struct.iter_unpack(order + "IIf", raw[24 : 24 + 12 * n]):
-                    yield name, a, b, v
-            elif kind == VARIABLE:
-                for a, v in struct.iter_unpack(order + "If", raw[24 : 24 + 8 * n]):
-                    yield name, a, a + span, v
-            elif kind == FIXED:
-                for i, (v,) in enumerate(struct.iter_unpack(order + "f", raw[24 : 24 + 4 * n])):
-                    yield name, start + i * step, start + i * step + span, v
-            else:
+            if kind not in ITEM:
                 raise ValueError(f"{self.path} has a section of unknown kind {kind}")
+            items = np.frombuffer(raw, ITEM[kind].newbyteorder(order), n, 24)
+            a = start + np.arange(n, dtype=np.int64) * step if kind == FIXED else items["a"].astype(np.int64)
+            yield chrom, a, items["b"].astype(np.int64) if kind == BEDGRAPH else a + span, items["v"].astype(float)
+
+    def records(self, blocks: Iterable[tuple[int, int]]) -> Iterator[tuple[str, int, int, float]]:
+        """Chromosome, start (0-based), end, value."""
+        for chrom, *arrays in self.columns(blocks):
+            for a, b, v in zip(*(x.tolist() for x in arrays), strict=True):
+                yield self.named[chrom], a, b, v
 
 
 LEAF = np.dtype([("c1", "<u4"), ("b1", "<u4"), ("c2", "<u4"), ("b2", "<u4"), ("at", "<u8"), ("size", "<u8")])
 INNER = np.dtype(LEAF.descr[:-1])
+ITEM = {BEDGRAPH: np.dtype([("a", "<u4"), ("b", "<u4"), ("v", "<f4")]), VARIABLE: np.dtype([("a", "<u4"), ("v", "<f4")]), FIXED: np.dtype([("v", "<f4")])}
 
 
 def _tree(entries: np.ndarray, base: int) -> bytes:
@@ -142,16 +167,36 @@ def _tree(entries: np.ndarray, base: int) -> bytes:
     return b"".join(out)
 
 
+def _names_tree(names: list[str], lengths: dict[str, int], at: int) -> bytes:
+    """The B+ tree of names in order, the root first; a node holds FAN_OUT names at most."""
+    key = max([1, *(len(n.encode()) for n in names)])
+    keys = [n.encode().ljust(key, b"\0") for n in names]
+    fan_out = min(FAN_OUT, max(1, len(names)))
+    levels = [[(k, struct.pack("<II", i, lengths[n])) for i, (k, n) in enumerate(zip(keys, names, strict=True))]]
+    while len(levels[0]) > fan_out:
+        levels.insert(0, [(k, b"") for k, _ in levels[0][::fan_out]])
+    out, end = [struct.pack("<IIIIQQ", CHROM_MAGIC, fan_out, key, 8, len(names), 0)], at + 32
+    for depth, level in enumerate(levels):
+        leaf = depth == len(levels) - 1
+        starts = range(0, max(1, len(level)), fan_out)
+        end += 4 * len(starts) + (key + 8) * len(level)
+        for i in starts:
+            node = level[i : i + fan_out]
+            out.append(struct.pack("<BBH", leaf, 0, len(node)))
+            # a child holds fan_out names but for the last
+            out += [k + (v if leaf else struct.pack("<Q", end + (i + j) * (4 + fan_out * (key + 8)))) for j, (k, v) in enumerate(node)]
+    return b"".join(out)
+
+
 #: A section: at most ITEMS ranges of a chromosome, packed, with what header and index need to know of it.
 SECTION_ROWS = "chrom int, low long, high long, raw int, bases double, least double, most double, total double, squares double, packed binary"
 
 
 def packed_sections(batches: Iterable[tuple[np.ndarray, ...]]) -> Iterator[tuple]:
     """Sections of batches of arrays (chromosome's number, start, end, value), 0-based and half-open, sorted by number and start."""
-    item = np.dtype([("a", "<u4"), ("b", "<u4"), ("v", "<f4")])
 
     def packed(chrom, a, b, v) -> tuple:
-        items = np.empty(len(a), item)
+        items = np.empty(len(a), ITEM[BEDGRAPH])
         items["a"], items["b"], items["v"] = a, b, v
         raw = struct.pack(SECTION, chrom[0], a[0], b[-1], 0, 0, BEDGRAPH, 0, len(a)) + items.tobytes()
         n = (b - a).astype(float)
@@ -192,11 +237,8 @@ class Totals:
 def bigwig_parts(sections: Iterable[tuple[int, int, int, bytes]], known: Totals, lengths: dict[str, int]) -> Iterator[bytes]:
     """A file, part by part, of sections (chromosome's number, low, high, packed) in order; only index entries are held."""
     names = sorted(lengths)
-    key = max([1, *map(len, names)])
     tree_at = 64 + 40
-    tree = struct.pack("<IIIIQQ", CHROM_MAGIC, max(1, len(names)), key, 8, len(names), 0) + struct.pack("<BBH", 1, 0, len(names))
-    for i, n in enumerate(names):
-        tree += n.encode().ljust(key, b"\0") + struct.pack("<II", i, lengths[n])
+    tree = _names_tree(names, lengths, tree_at)
     data_at = tree_at + len(tree)
     index_at = data_at + 8 + known.size
     yield struct.pack(HEADER, MAGIC, 4, 0, tree_at, data_at, index_at, 0, 0, 0, 64, known.raw, 0)
@@ -227,14 +269,15 @@ SCHEMA = "seqname string, start long, end long, score double, path string"
 
 @dataclass
 class Tile(InputPartition):
-    """Parts (chromosome, low, high) of a file, or all of it."""
+    """The ranges of a file that begin from `low` on and before `high`, places of (chromosome's number, base); None: no bound."""
 
     path: str
-    parts: list | None
+    low: tuple[int, int] | None = None
+    high: tuple[int, int] | None = None
 
 
 class BigWigReader(DataSourceReader):
-    """One partition for each file and tile."""
+    """One partition for each file, or as many as its packed data make up tasks, each of whole tiles."""
 
     def __init__(self, options: dict) -> None:
         self.paths = [p for p in options["path"].split(",") if p]
@@ -242,47 +285,46 @@ class BigWigReader(DataSourceReader):
         self.chroms: set[str] | None = None
 
     def partitions(self):
-        """A whole file each, or tiles of one width; what is left of sequences shorter than a tile shares one."""
+        """A whole file each, or neighbouring tiles of one width with about TASK_BYTES of packed data together."""
         out = []
         for p in self.paths:
-            lengths = {n: size for n, (_, size) in BigWig(p).header.chromosomes.items()}
-            names = [n for n in lengths if self.chroms is None or n in self.chroms]
-            if not self.tile:
-                out.append(Tile(p, None if self.chroms is None else [(n, 0, lengths[n]) for n in names]))
-                continue
-            held: list = []
-            for n in names:
-                for low in range(0, lengths[n], self.tile):
-                    held.append((n, low, min(low + self.tile, lengths[n])))
-                    if sum(high - low for _, low, high in held) >= self.tile:
-                        out.append(Tile(p, held))
-                        held = []
-            if held:
-                out.append(Tile(p, held))
+            edges: list = []
+            if self.tile:
+                file = BigWig(p)
+                tasks = -(-max(0, file.header.index - file.header.data) // TASK_BYTES)
+                edges = sorted({(c, b // self.tile * self.tile) for c, b in file.splits(tasks)}) if tasks > 1 else []
+            out += [Tile(p, low, high) for low, high in zip([None, *edges], [*edges, None], strict=True)]
         return out
 
     def read(self, partition: Tile):
-        file = BigWig(partition.path)
-
-        def within(part):
-            name, low, high = part
-            found = file.records(file.blocks({file.header.chromosomes[name][0]}, (low, high)))
-            return (r for r in found if r[0] == name and low <= r[1] < high)  # a range belongs to the tile it begins in
-
-        records = file.records(file.blocks()) if partition.parts is None else (r for part in partition.parts for r in within(part))
-        rows: list = []
-        for r in records:
-            rows.append(r)
-            if len(rows) == 50_000:
-                yield _batch(rows, partition.path)
-                rows = []
-        if rows:
-            yield _batch(rows, partition.path)
-
-
-def _batch(rows: list, path: str) -> pa.RecordBatch:
-    name, start, end, value = zip(*rows, strict=True)
-    columns = [pa.array(name), pa.array([s + 1 for s in start], pa.int64()), pa.array(end, pa.int64()), pa.array(value, pa.float64()), pa.array([path] * len(rows))]
+        file, low, high = BigWig(partition.path), partition.low, partition.high
+        names = np.empty(max(file.named, default=-1) + 1, object)
+        for number, name in file.named.items():
+            names[number] = name
+        wanted = None if self.chroms is None else {number for number, name in file.named.items() if name in self.chroms}
+        held, size = [], 0
+        for chrom, a, b, v in file.columns(file.blocks(wanted, low=low, high=high)):
+            if wanted is not None and chrom not in wanted:
+                continue
+            if (low is not None and chrom <= low[0]) or (high is not None and chrom >= high[0]):  # a range belongs to the tile it begins in
+                own = np.ones(len(a), bool)
+                if low is not None:
+                    own &= (chrom > low[0]) | ((chrom == low[0]) & (a >= low[1]))
+                if high is not None:
+                    own &= (chrom < high[0]) | ((chrom == high[0]) & (a < high[1]))
+                a, b, v = a[own], b[own], v[own]
+            held.append((np.full(len(a), chrom), a, b, v))
+            size += len(a)
+            if size >= BATCH:
+                yield _batch(held, names, partition.path)
+                held, size = [], 0
+        if size:
+            yield _batch(held, names, partition.path)
+
+
+def _batch(held: list, names: np.ndarray, path: str) -> pa.RecordBatch:
+    chrom, a, b, v = (np.concatenate(x) for x in zip(*held, strict=True))
+    columns = [pa.array(names[chrom], pa.string()), pa.array(a + 1, pa.int64()), pa.array(b, pa.int64()), pa.array(v, pa.float64()), pa.array([path] * len(a), pa.string())]
     return pa.RecordBatch.from_arrays(columns, names=["seqname", "start", "end", "score", "path"])
 
 
@@ -334,8 +376,8 @@ def write_bigwig(df, seqinfo, path: str) -> None:
 
     def pack(batches):
         arrays = ((t["seqname"].map(number.__getitem__).to_numpy(np.int64), t["start"].to_numpy(np.int64) - 1, t["end"].to_numpy(np.int64), t["score"].to_numpy(float)) for t in batches if len(t))
-        for s in packed_sections(arrays):
-            yield pd.DataFrame([s], columns=fields)
+        for some in batched(packed_sections(arrays), SECTIONS):
+            yield pd.DataFrame(some, columns=fields)
 
     fields = [x.split()[0] for x in SECTION_ROWS.split(", ")]
     ordered = df.select("seqname", "start", "end", F.col("score").cast("double").alias("score")).repartitionByRange("seqname", "start").sortWithinPartitions("seqname", "start")
