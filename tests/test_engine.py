@@ -452,3 +452,70 @@ def test_sources_of_conversions_are_checked(spark, tmp_path):
     (tmp_path / "half.bw").write_bytes(part)
     former = ctss.ctss_from_bigwig_tiles(spark, {"s": f"{tmp_path}/half.bw"}, {"s": f"{tmp_path}/m.bw"}, seqinfo=seqinfo)
     assert [r.counts for r in former.expr.collect()] == [2]
+
+
+def exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_library_sizes_do_not_deal_rows_by_sample(spark):
+    """A join by sample would send all rows of a sample to one task."""
+    exp = small(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for found in (assay.calc_tpm(exp).expr, assay.pool_positions(exp).features):
+            assert "BroadcastHashJoin [sample" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = assay.calc_pooled(assay.calc_tpm(exp)).features.select("seqname", "start", "end", "strand", "score_n", "score")
+    assert sorted(want.collect()) == sorted(assay.pool_positions(exp).features.select(want.columns).collect())
+
+
+def test_islands_deal_rows_once(spark):
+    df = spark.range(10).selectExpr("concat('c', id % 2) seqname", "id * 3 start", "id * 3 + 1 end")
+    found = tiles.islands(df, ["seqname"], 1)
+    # the rows and, read from the same exchange, their summary; all further exchanges are of summaries, one row a tile
+    dealt = [e for e in exchanges(found) if "REPARTITION_BY_COL" in e]
+    assert len(dealt) == 2
+    assert all("__key" in e or "__s_key" in e for e in exchanges(found))
+
+
+def test_runs_over_tiles(spark):
+    rng = random.Random(5)
+    rows = sorted({(rng.randrange(200)) for _ in range(120)})
+    df = spark.createDataFrame([("k", p, p, rng.randrange(2)) for p in rows], "key string, start long, end long, v int")
+    value = {r.start: r.v for r in df.collect()}
+    for gap in (1, 3):
+        got = tiles.islands(df, ["key"], gap, tile=8, runs=("v", "ends")).collect()
+        assert len(got) == len(rows) and all(r.ends == (value.get(r.start + 1) != r.v) for r in got)
+        begins = [p for i, p in enumerate(rows) if not i or p - rows[i - 1] - 1 >= gap]
+        assert all(r.island == max(b for b in begins if b <= r.start) for r in got)
+
+
+def test_islands_with_null_keys(spark):
+    df = spark.createDataFrame([(None, 1, 40), (None, 30, 31), (None, 60, 61), ("a", 3, 4)], "key string, start long, end long")
+    got = {(r.key, r.start): r.island for r in tiles.islands(df, ["key"], 5, tile=8).collect()}
+    assert got == {(None, 1): 1, (None, 30): 1, (None, 60): 60, ("a", 3): 3}
+
+
+def test_loci_over_tiles(spark, monkeypatch):
+    """What tiles find is the same whatever their width; candidates are those of a plain reading."""
+    rng, w, length = random.Random(11), 9, 400
+    rows = [(c, p, s, float(rng.randrange(1, 4))) for c in ("chr1", "chr2") for p in range(1, length + 1) for s in "+-" if rng.random() < 0.06]
+    exp, seqinfo = pooled(spark, rows), genome(spark, length)
+    found = {}
+    for tile in (1 << 16, 32, 7):
+        monkeypatch.setattr(bidirectional, "TILE", tile)
+        regions = sorted(map(tuple, bidirectional.bidirectional_regions(exp, seqinfo, w).select("seqname", "start", "end").collect()))
+        sums = sorted((r.seqname, p, r.PD, r.MD, r.PU, r.MU) for r in bidirectional.balance_segments(exp, seqinfo, w).collect() for p in range(r.start, r.end + 1))
+        loci = sorted(map(tuple, bidirectional.cluster_bidirectionally(exp, seqinfo, w, 0.8).select("feature_id", "score_n", "thick", "balance").collect()))
+        found[tile] = regions, sums, loci
+    assert found[1 << 16] == found[32] == found[7] and all(map(len, found[7]))
+    inside = set()
+    for c in ("chr1", "chr2"):
+        at = {s: {p for n, p, t, _ in rows if n == c and t == s} for s in "+-"}
+        up = {x for p in at["+"] if p - 1 not in at["+"] for x in range(p - w + 1, p + 1)}
+        down = {x for p in at["-"] if p + 1 not in at["-"] for x in range(p, p + w)}
+        inside |= {(c, y) for x in up & down for y in range(x - w + 1, x + w) if 1 <= y <= length}
+    assert {(c, y) for c, a, b in found[7][0] for y in range(a, b + 1)} == inside

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from .model import Experiment
 from .operators.annotate import TranscriptModels
 from .operators.assay import ctss_experiment
+from .plans.settle import file_bytes
 
 LENGTH = 10_000
+#: Bytes of a line item file whose rows one task holds.
+TASK_BYTES = 8 << 20
 
 
 def ctss(spark: SparkSession, sf_dir: str) -> Experiment:
     """Suppliers are sequences, line numbers samples, line status the strand, quantities the counts."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    # few lines share a position, so sums before the shuffle would only hold memory; the number of tasks follows the file
+    tasks = max(spark.sparkContext.defaultParallelism, -(-file_bytes(lines) // TASK_BYTES))
     rows = lines.select(
         F.concat(F.lit("chr"), "l_suppkey").alias("seqname"),
         (1 + (F.col("l_orderkey") * 37 + F.col("l_partkey") * 11 + F.col("l_linenumber")) % LENGTH).alias("start"),
@@ -22,7 +27,7 @@ def ctss(spark: SparkSession, sf_dir: str) -> Experiment:
         F.concat(F.lit("s"), "l_linenumber").alias("sample"),
         "l_quantity",
     )
-    expr = rows.groupBy("seqname", "start", "strand", "sample").agg(F.sum("l_quantity").cast("long").alias("counts"))
+    expr = rows.repartition(tasks, "seqname", "start", "strand").groupBy("seqname", "start", "strand", "sample").agg(F.sum("l_quantity").cast("long").alias("counts"))
     return ctss_experiment(expr, samples(spark), seqinfo(spark, sf_dir))
 
 

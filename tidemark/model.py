@@ -34,9 +34,11 @@ class Experiment:
     seqinfo: DataFrame
     key: tuple[str, ...] = ("feature_id",)
     metadata: tuple = field(default=())
+    #: The features are the keys of `expr`, without columns of their own.
+    plain: bool = False
 
     def with_(self, **changes) -> Experiment:
-        return replace(self, **changes)
+        return replace(self, **({"plain": False} if "features" in changes or "expr" in changes else {}) | changes)
 
     @property
     def assays(self) -> list[str]:

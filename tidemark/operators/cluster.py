@@ -63,8 +63,8 @@ def cluster_unidirectionally(pooled: Features, cutoff: float = 0, merge_dist: in
         over = scored(pooled).filter(F.col("score_n") > round(cutoff * UNIT)).withColumn("end", F.col("start"))
         ranges = islands(over, ["seqname", "strand"], merge_dist).groupBy(*key).agg(F.min("start").alias("start"), F.max("end").alias("end"))
         return tc_stats(ranges.drop("island"), pooled)
-    points = _with_run_ends(pooled).filter("score_n > 0").withColumn("end", F.col("start"))
-    points = islands(points, ["seqname", "strand"], merge_dist).withColumns({"pos": F.col("start"), "v": F.col("score_n")})
+    points = scored(pooled).filter("score_n > 0").withColumn("end", F.col("start"))
+    points = islands(points, ["seqname", "strand"], merge_dist, runs=("score_n", "run_ends")).withColumns({"pos": F.col("start"), "v": F.col("score_n")})
     # without a merge distance neighbouring positions are clusters of their own
     return _named(_summed(points, key, F.col("run_ends") if merge_dist else F.lit(True), F.min("pos").alias("start"), F.max("pos").alias("end")))
 

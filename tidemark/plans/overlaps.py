@@ -13,21 +13,33 @@ from pyspark.sql import functions as F
 BIN = 4096
 
 
-def _binned(df: DataFrame, side: str, pad: int, width: int) -> DataFrame:
-    """All columns as a struct, with the interval and its bins."""
-    start, end = F.col("start") - pad, F.col("end") + pad
-    out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(side), F.col("seqname").alias(f"__{side}_seq"), start.alias(f"__{side}_start"), end.alias(f"__{side}_end"))
-    return out.withColumn(f"__{side}_bin", F.explode(F.sequence(F.floor(F.col(f"__{side}_start") / width), F.floor(F.greatest(f"__{side}_start", f"__{side}_end") / width))))
+def _flat(df: DataFrame, side: str) -> DataFrame:
+    """The columns under names of the side; they become a struct after the join, so that what nobody reads is not shuffled."""
+    return df.select(*[F.col(f"`{c}`").alias(f"__{side}_{c}") for c in df.columns])
+
+
+def _whole(df: DataFrame, side: str) -> Column:
+    return F.struct(*[F.col(f"`__{side}_{c}`").alias(c) for c in df.columns]).alias(side)
+
+
+def _bins(df: DataFrame, side: str, pad: int, width: int) -> DataFrame:
+    """The columns, and a row for every bin of the interval."""
+    low, high = F.col(f"__{side}_start") - pad, F.col(f"__{side}_end") + pad
+    return _flat(df, side).withColumn(f"__{side}__bin", F.explode(F.sequence(F.floor(low / width), F.floor(F.greatest(low, high) / width))))
+
+
+def _match(p: Column, s: Column) -> Column:
+    return (p == s) | (p == "*") | (s == "*")
 
 
 def overlap_pairs(query: DataFrame, subject: DataFrame, max_gap: int = -1, ignore_strand: bool = False, width: int = BIN) -> DataFrame:
     """Pairs of rows whose gap is `max_gap` at most (-1: they share a base), as structs `q` and `s`."""
-    q, s = _binned(query, "q", max_gap + 1, width), _binned(subject, "s", 0, width)
-    pairs = q.join(s, (F.col("__q_seq") == F.col("__s_seq")) & (F.col("__q_bin") == F.col("__s_bin")))
-    once = F.col("__q_bin") == F.floor(F.greatest("__q_start", "__s_start") / width)
-    near = F.greatest("q.start", "s.start") - F.least("q.end", "s.end") - 1 <= max_gap
-    strand = F.lit(True) if ignore_strand else (F.col("q.strand") == F.col("s.strand")) | (F.col("q.strand") == "*") | (F.col("s.strand") == "*")
-    return pairs.filter(once & near & strand).select("q", "s")
+    q, s = _bins(query, "q", max_gap + 1, width), _bins(subject, "s", 0, width)
+    pairs = q.join(s, (F.col("__q_seqname") == F.col("__s_seqname")) & (F.col("__q__bin") == F.col("__s__bin")))
+    once = F.col("__q__bin") == F.floor(F.greatest(F.col("__q_start") - (max_gap + 1), "__s_start") / width)
+    near = F.greatest("__q_start", "__s_start") - F.least("__q_end", "__s_end") - 1 <= max_gap
+    strand = F.lit(True) if ignore_strand else _match(F.col("__q_strand"), F.col("__s_strand"))
+    return pairs.filter(once & near & strand).select(_whole(query, "q"), _whole(subject, "s"))
 
 
 def overlapping(query: DataFrame, subject: DataFrame, key: str, anti: bool = False, max_gap: int = -1, ignore_strand: bool = False, width: int = BIN) -> DataFrame:
@@ -44,12 +56,11 @@ def score_overlaps(query: DataFrame, subject: DataFrame, key: str, score: str =
 
 
 def points_in(points: DataFrame, intervals: DataFrame, width: int = 1024) -> DataFrame:
-    """Pairs of one-base points `p` and intervals `s` that hold them, on compatible strands.
+    """Pairs of one-base points `p` and intervals `s` that hold them, on compatible strands, and the point's `bin`.
 
-    A point has one bin only, so it is not exploded.
+    A point has one bin only, so it is not exploded; pairs stay dealt by sequence and bin of the point.
     """
-    p = points.select(F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("p"), F.col("seqname").alias("__p_seq"), F.floor(F.col("start") / width).alias("__p_bin"))
-    s = _binned(intervals, "s", 0, width)
-    pairs = p.join(s, (F.col("__p_seq") == F.col("__s_seq")) & (F.col("__p_bin") == F.col("__s_bin")))
-    strand: Column = (F.col("p.strand") == F.col("s.strand")) | (F.col("p.strand") == "*") | (F.col("s.strand") == "*")
-    return pairs.filter((F.col("p.start") >= F.col("s.start")) & (F.col("p.start") <= F.col("s.end")) & strand).select("p", "s")
+    p, s = _flat(points, "p").withColumn("__p__bin", F.floor(F.col("__p_start") / width)), _bins(intervals, "s", 0, width)
+    pairs = p.join(s, (F.col("__p_seqname") == F.col("__s_seqname")) & (F.col("__p__bin") == F.col("__s__bin")))
+    inside = (F.col("__p_start") >= F.col("__s_start")) & (F.col("__p_start") <= F.col("__s_end")) & _match(F.col("__p_strand"), F.col("__s_strand"))
+    return pairs.filter(inside).select(_whole(points, "p"), _whole(intervals, "s"), F.col("__p__bin").alias("bin"))

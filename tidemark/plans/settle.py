@@ -41,6 +41,11 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_bytes(df: DataFrame) -> int:
+    """The size of the files that a table just read consists of, as its plan states it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def release() -> None:
     """Delete the written tables; call it once results are stored."""
     while _written:
