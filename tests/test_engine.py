@@ -300,6 +300,7 @@ def test_bigwig_of_many_sequences(tmp_path, monkeypatch):
     reader = bigwig.BigWigReader({"path": str(tmp_path / "y.bw"), "tileWidth": "1000"})
     parts = reader.partitions()
     assert len(parts) > 3 and all(p.low is None or p.low[1] % 1000 == 0 for p in parts)
+    assert len(bigwig.BigWigReader({"path": str(tmp_path / "y.bw")}).partitions()) > 3  # no task holds a whole file either
     assert sum((batch.column(1).to_pylist() for p in parts for batch in reader.read(p)), []) == [a + 1 for _, a, _, _ in dense]
 
 

@@ -36,12 +36,12 @@ def _number(name: str):
 
 def write_bedgraph(df: DataFrame, path: str, mode: str = "error") -> None:
     """One strand's ranges and scores, sorted within each part; the parts are ranges of the genome in order."""
-    rows = df.select("seqname", (F.col("start") - 1).alias("start0"), "end", _number("score").alias("score"))
-    rows.repartitionByRange("seqname", "start0").sortWithinPartitions("seqname", "start0").write.mode(mode).csv(path, sep="\t")
+    rows = df.select("seqname", (F.col("start") - 1).alias("start0"), "end", "score").repartitionByRange("seqname", "start0").sortWithinPartitions("seqname", "start0")
+    rows.select("seqname", "start0", "end", _number("score").alias("score")).write.mode(mode).csv(path, sep="\t")
 
 
 def write_bed(df: DataFrame, path: str, mode: str = "error") -> None:
     name = F.col("name") if "name" in df.columns else F.lit(".")
     strand = F.when(F.col("strand").isin("+", "-"), F.col("strand")).otherwise(".")
-    rows = df.select("seqname", (F.col("start") - 1).alias("start0"), "end", F.coalesce(name, F.lit(".")).alias("name"), _number("score").alias("score"), strand.alias("strand"))
-    rows.repartitionByRange("seqname", "start0").sortWithinPartitions("seqname", "start0").write.mode(mode).csv(path, sep="\t")
+    rows = df.withColumn("start0", F.col("start") - 1).repartitionByRange("seqname", "start0").sortWithinPartitions("seqname", "start0")
+    rows.select("seqname", "start0", "end", F.coalesce(name, F.lit(".")).alias("name"), _number("score").alias("score"), strand.alias("strand")).write.mode(mode).csv(path, sep="\t")

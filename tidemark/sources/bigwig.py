@@ -277,7 +277,7 @@ class Tile(InputPartition):
 
 
 class BigWigReader(DataSourceReader):
-    """One partition for each file, or as many as its packed data make up tasks, each of whole tiles."""
+    """As many partitions for each file as its packed data make up tasks; tiles are kept whole."""
 
     def __init__(self, options: dict) -> None:
         self.paths = [p for p in options["path"].split(",") if p]
@@ -285,14 +285,12 @@ class BigWigReader(DataSourceReader):
         self.chroms: set[str] | None = None
 
     def partitions(self):
-        """A whole file each, or neighbouring tiles of one width with about TASK_BYTES of packed data together."""
-        out = []
+        """Stretches of files with about TASK_BYTES of packed data, cut where sections begin or, given a width of tiles, at a tile."""
+        out, tile = [], max(1, self.tile)
         for p in self.paths:
-            edges: list = []
-            if self.tile:
-                file = BigWig(p)
-                tasks = -(-max(0, file.header.index - file.header.data) // TASK_BYTES)
-                edges = sorted({(c, b // self.tile * self.tile) for c, b in file.splits(tasks)}) if tasks > 1 else []
+            file = BigWig(p)
+            tasks = -(-max(0, file.header.index - file.header.data) // TASK_BYTES)
+            edges: list = sorted({(c, b // tile * tile) for c, b in file.splits(tasks)}) if tasks > 1 else []
             out += [Tile(p, low, high) for low, high in zip([None, *edges], [*edges, None], strict=True)]
         return out
 

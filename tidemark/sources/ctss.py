@@ -44,7 +44,8 @@ def _experiment(spark, plus: dict[str, str], minus: dict[str, str], read, design
 
 
 def ctss_from_bigwig(spark: SparkSession, plus: dict[str, str], minus: dict[str, str], design: DataFrame | None = None, seqinfo: DataFrame | None = None, tile_width: int | None = None, whole: bool = False) -> Experiment:
-    """Positions and counts from BigWig files of each sample and strand; a task reads a file, or a tile of one.
+    """Positions and counts from BigWig files of each sample and strand; tasks read stretches of files, of whole tiles
+    where a width is given.
 
     `whole` cuts scores to whole numbers.
     """
